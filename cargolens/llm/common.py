@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that separates words in every contract: space, and tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -39,6 +40,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *have])
 
 
+def with_fields(df: DataFrame, fields: str) -> StructType:
+    """df's schema and further fields (DDL)."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row: lambdas would compute an inlined expression for each element."""
     return F.transform(F.array(value), body)[0]
