@@ -26,7 +26,7 @@ CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "blank": r"[\x20\x09-\x0D]", "s
 COMMON, LANGUAGES = 32, 64
 #: A document is judged by its characters from so many on, by its words from so many on.
 LEAST_CHARS, LEAST_WORDS = 200, 100
-FAR_CLASSES, FAR_WORDS = 0.25, 0.6
+FAR_CLASSES, FAR_WORDS = 0.3, 0.36
 ALL = "*"
 
 
