@@ -2,36 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from cargolens.plans import relational
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def fk_chain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: _table(spark, sf_dir, name)
-    per_customer = (
-        t("lineitem")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"))
-    )
-    return (
-        per_customer.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy("r_name", "n_name")
-        .agg(F.sum("n_lines").alias("n_lines"), F.sum("quantity").cast("double").alias("quantity"))
-    )
-
-
-QUERIES = {"fk_chain_join": fk_chain_join}
-ORACLES = {
-    "fk_chain_join": """
-        SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        GROUP BY r_name, n_name""",
-}
+QUERIES = dict(relational.QUERIES)
+ORACLES = dict(relational.ORACLES)
