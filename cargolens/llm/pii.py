@@ -89,7 +89,7 @@ def _candidate(m: Column, next_: Column) -> Column:
 def annotate(documents: DataFrame) -> DataFrame:
     """Rows of documents without text, with blob, base spans, and candidates that overlap no base span; one pass over the texts."""
     text = F.coalesce("text", F.lit(""))
-    keep = [c for c in documents.columns if c.lower() not in ("text", "blob", "base", "cands")]
+    keep = [c for c in documents.columns if c.lower() not in ("text", "blob", "base", "cands", "context")]
     found = documents.select(*keep, F.sha2(text, 256).alias("blob"), base_spans(text).alias("base"), candidates(text).alias("cands"))
     free = F.filter("cands", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return found.withColumn("cands", free)

@@ -28,6 +28,8 @@ COMMON, LANGUAGES = 32, 64
 LEAST_CHARS, LEAST_WORDS = 200, 100
 FAR_CLASSES, FAR_WORDS = 0.3, 0.36
 ALL = "*"
+#: Columns of the result, or on the way to it; those of the input with these names are replaced.
+RESULTS = {"text", "ref", "common", "w", "n_words", "word_chars", "n_repeat_words", "word_counts", "n_symbols", "n_dup_lines", "chars", "class_counts", "class_distance", "word_distance", "base_failed", "kept"}
 
 
 def repeat_words(w: Column) -> Column:
@@ -63,8 +65,8 @@ def measures(documents: DataFrame, common: DataFrame, known: list[str]) -> DataF
             let(usual, lambda u: F.transform(F.col("common"), lambda c: (F.size(u) - F.size(F.array_remove(u, c))).cast("long"))).alias("word_counts"),
         )
 
-    keep = [c for c in documents.columns if c.lower() not in ("text", "ref", "common")]
-    at = documents.withColumn("ref", ref).join(F.broadcast(common), "ref", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    keep = [c for c in documents.columns if c.lower() not in RESULTS]
+    at = documents.select(*keep, "text", ref.alias("ref")).join(F.broadcast(common), "ref", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     out = at.select(
         *keep,
         "ref",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cargolens.llm.decontaminate import op9_decontaminate
 from cargolens.llm.language import op5_language
+from cargolens.llm.lm_score import op4_lm_score
 from cargolens.llm.packing import op2_packing
 from cargolens.llm.pii import op10_pii
 from cargolens.llm.quality import op8_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_lm_score": op4_lm_score,
     "op5_language": op5_language,
     "op6_url_filter": op6_url_filter,
     "op7_token_count": op7_token_count,

@@ -103,22 +103,24 @@ def by_start(found: Column, order: tuple[str, ...]) -> Column:
 
 def redact(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every found span replaced by mask (spans that overlap give one); n_chars, if there, is counted again."""
-    found, _ = scan_versions(documents, with_text=True)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = documents.select(F.struct(*documents.columns).alias("row"), "text")
+    found, _ = scan_versions(whole, with_text=True)
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    part = lambda at, size: F.col("text").substr(at.cast("int") + 1, size.cast("int"))
 
     def cut(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.col("text").substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mask))
         apart = s["start"] >= acc["at"]
+        piece = F.concat(part(acc["at"], s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
     def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.col("text").substr(acc["at"].cast("int") + 1, F.length("text")))
+        return F.concat(F.array_join(acc["out"], ""), part(acc["at"], F.length("text")))
 
-    cleaned = F.when(F.size("found") > 0, F.aggregate("found", start, cut, finish)).otherwise(F.col("text"))
-    out = found.withColumn("text", cleaned)
+    cleaned = found.withColumn("cleaned", F.aggregate("found", begin, cut, finish))
+    row = F.col("row").withField("text", F.col("cleaned"))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        row = row.withField("n_chars", F.length("cleaned").cast(documents.schema["n_chars"].dataType))
+    return cleaned.select(F.when(F.size("found") > 0, row).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,15 +150,30 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     return dealt.mapInPandas(lambda frames: _links(frames, radius), "a long, b long")
 
 
-def groups(documents: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """Rows of documents without text, with fp and component_id."""
-    rows = table(fingerprints(documents, width), "fingerprints")
+def components_of(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, component) for a written table with doc_id and fp; component names a group even where it has no id."""
     prints = table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = table(components(links(prints.select("fp"), radius)), "roots")
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = table(rooted.join(least, "root").select("fp", "component_id", F.col("root").alias("component")), "print-components")
-    return rows.join(of, "fp")
+    rooted = table(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("component")), "rooted")
+    least = table(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "least-ids")
+    return table(rooted.join(least, "component").select("fp", "component_id", "component"), "components")
+
+
+def groups(documents: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """Rows of documents without text, with fp, component_id and component; columns of these names are replaced."""
+    rows = table(fingerprints(documents.drop("component_id", "component"), width), "fingerprints")
+    return rows.join(components_of(rows, radius), "fp")
+
+
+def representatives(documents: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of documents for each group: the one with the least id (null: last)."""
+    whole = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text")
+    rows = table(fingerprints(whole, width).withColumn("uid", F.monotonically_increasing_id()), "fingerprinted")
+    light = rows.select("uid", "doc_id", "fp")
+    light = light.join(components_of(light, radius), "fp").select("uid", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid").alias("rank"))
+    first = table(light.groupBy("component").agg(F.min("rank")["uid"].alias("uid")), "first-of-groups")
+    rest = table(rows.select("uid").join(first, "uid", "left_anti"), "rest-of-groups")
+    return rows.join(rest, "uid", "left_anti").select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.special = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=1)
         self.kept: dict[str, bytes] = {}
 
     def _encode(self, fresh: list[str]) -> None:
@@ -103,7 +104,7 @@ def pieces(documents: DataFrame, path: str, size: int, end_id: int) -> DataFrame
 
     A document's tokens end with end_id. Only longer ones are cut; all pieces but the first are full."""
     ship(documents.sparkSession)
-    keep = [c for c in documents.columns if c.lower() not in ("text", "piece", "start", "length", "ids")]
+    keep = [c for c in documents.columns if c.lower() not in ("text", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")]
     rows = documents.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     schema = with_fields(rows.drop("text"), "piece int, start long, length long, ids binary")
     end = np.array([end_id], "<u4").tobytes()
@@ -146,7 +147,8 @@ def spliced(enc: Encoder, text: str, size: int, overlap: int) -> list[int]:
     Neighbouring chunks are joined at a boundary where both have the same token before and the same token after it, with the
     same offsets. All neighbouring tokens of the joined row then stand as in one chunk's encoding, and byte pair merges make a row
     of tokens an encoding if each pair of neighbours is one. Where an overlap has no such boundary it is widened: to the left
-    up to what has been kept, then by encoding from there to the end of the next chunk."""
+    up to what has been kept, then by encoding from there to the end of the next chunk. An overlap holds any special token, so
+    that one of the two chunks has it whole."""
 
     def tokens(a: int, z: int) -> list[tuple]:
         e = enc.tokenizer.encode(text[a:z], add_special_tokens=False)
@@ -156,7 +158,7 @@ def spliced(enc: Encoder, text: str, size: int, overlap: int) -> list[int]:
     n, begin, end = len(text), 0, min(size, len(text))  # begin: where the current chunk starts
     current, used = tokens(begin, end), 0  # used: its tokens before this are in out, or another chunk's
     while end < n:
-        wide, stop = overlap, min(n, end + size)
+        wide, stop = max(overlap, enc.special), min(n, end + size)
         while True:
             start = max(begin, end - wide)
             following = tokens(start, stop)
