@@ -4,7 +4,8 @@ A rule (host, path, verdict) fits a URL if its host is the URL's or a parent dom
 canonical key `reversed.host#path` turns a rule's path into an interval of keys: all that start with the rule's key. Each
 distinct URL sends one key for each of its domains that has as many labels as some rule; keys and rules are dealt by ranges of
 the key, rules to all ranges that their interval meets, and one sorted sweep over each range keeps a stack of the active
-nested rules: its top is the longest. The best of a URL's domains is the verdict; longest means the host first, then the path.
+nested rules: its top is the longest. The longest of what a URL's domains get is the verdict: by host and path together, then by the
+host.
 
 Defined results: null, empty or malformed URLs have empty host and path and no rule. Repeated rows, null and repeated ids all get
 a row. Of rules with the same host and path, block wins over allow. An empty table gives an empty result.
@@ -53,8 +54,9 @@ def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if rule is not None:
                 stack.append((key, rule, verdict))
             elif stack:
-                out.append((host, path, len(stack[-1][0]), *stack[-1][1:]))
-        yield pd.DataFrame(out, columns=["host", "path", "size", "rule", "verdict"])
+                top = stack[-1]
+                out.append((host, path, len(top[0]), top[0].index("#"), *top[1:]))
+        yield pd.DataFrame(out, columns=["host", "path", "size", "host_size", "rule", "verdict"])
 
 
 def judge(urls: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -80,8 +82,8 @@ def judge(urls: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataF
     starts = rules.select(F.explode(F.sequence(part(F.col("key")), part(upto))).alias("part"), "key", "rule", "verdict", none.alias("host"), none.alias("path"))
     asked = urls.select(part(F.col("key")).alias("part"), "key", none.alias("rule"), none.alias("verdict"), "host", "path")
     dealt = starts.unionByName(asked).repartition(n, "part").sortWithinPartitions("part", "key", F.col("rule").isNull(), "host", "path")
-    hits = dealt.mapInPandas(sweep, "host string, path string, size int, rule string, verdict string")
-    return hits.groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("best")).select("host", "path", "best.rule", "best.verdict")
+    hits = dealt.mapInPandas(sweep, "host string, path string, size int, host_size int, rule string, verdict string")
+    return hits.groupBy("host", "path").agg(F.max(F.struct("size", "host_size", "rule", "verdict")).alias("best")).select("host", "path", "best.rule", "best.verdict")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ WITH p AS (
   FROM pages),
 r(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 best AS (
-  SELECT host, path, arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost) * 1000 + length(rpath)) AS b
+  SELECT host, path, arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), (length(rhost) + length(rpath)) * 1000 + length(rhost)) AS b
   FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY host, path)
 SELECT page_id, p.host, p.path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict

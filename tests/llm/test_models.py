@@ -33,7 +33,7 @@ def test_op6_many_nested_rules(spark):
     listed = spark.createDataFrame([(v, h, p) for (h, p), v in rules.items()], "verdict string, host string, path string")
     got = {(r.host, r.path): (r.rule, r.verdict) for r in url_filter.judge(frame, listed, ranges=7).collect()}
     for h, p in set(urls):
-        fits = [(len(rh.split(".")), len(rp), rh + rp, v) for (rh, rp), v in rules.items() if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        fits = [(len(rh + rp), len(rh), rh + rp, v) for (rh, rp), v in rules.items() if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
         assert got.get((h, p)) == (max(fits)[2:] if fits else None)
     assert url_filter.judge(frame, listed.limit(0)).count() == 0 and url_filter.judge(frame.limit(0), listed).count() == 0
 
