@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 One pass over the documents keeps the passages around word n-grams that may be an item's (a bit map of fixed size says so). An
-item's seeds are the rarer half of its n-grams, by how often the corpus has them: by rank, so that an item that many documents
-copy has seeds, too. Passages meet items on seeds, and local alignment of their words scores each pair: copies with words
+item's seeds are its n-grams but those that the corpus has far more often than the item's median one: rarity is measured
+within the item, so that an item that many documents copy has seeds, too. Passages meet items on seeds, and local alignment of their words scores each pair: copies with words
 changed, left out or put in still align. A pair is a leak if its score is at least SCORE of a whole copy's.
 
 Defined results: a null text has no passages. Leaks are per text: repeated rows and equal texts all get them, and rows with
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.llm.common import ship, table
@@ -28,6 +28,8 @@ from cargolens.llm.tokens import slices
 WORD = re.compile(r"\w+")
 #: Words to a seed; bits of the map (as a power of two); the least score, of that of a whole copy.
 GRAM, MAP_BITS, SCORE = 3, 24, 0.5
+#: A seed occurs at most so many times as often as the median n-gram of its item (that counts as 1 at least).
+RARE = 8
 MATCH, OTHER, GAP = 2, -1, 1
 #: Cells of the alignment that one task holds at a time.
 CELLS = 2_000_000
@@ -154,13 +156,14 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, bits: int =
     found = table(passages(texts, bit_map(grams, bits), bits, gram, longest), "passages")
     hits = found.select("key", "start", F.explode("hits").alias("gram"))
     often = hits.groupBy("gram").count()
-    rank = Window.partitionBy("item_id").orderBy(F.coalesce("count", F.lit(0)), "gram")
-    half = F.row_number().over(rank) * 2 <= F.count(F.lit(1)).over(Window.partitionBy("item_id")) + 1
-    seeds = table(grams.join(often, "gram", "left").withColumn("seed", half).where("seed").select("gram", "item_id"), "seeds")
+    counted = table(grams.join(often, "gram", "left").select("gram", "item_id", F.coalesce("count", F.lit(0)).alias("n")), "gram-counts")
+    usual = counted.groupBy(F.col("item_id").alias("of")).agg(F.greatest(F.median("n"), F.lit(1.0)).alias("usual"))
+    seeds = counted.join(usual, F.col("item_id").eqNullSafe(F.col("of"))).where(F.col("n").between(1, RARE * F.col("usual"))).select("gram", "item_id")
+    seeds = table(seeds, "seeds")
     pairs = table(hits.join(seeds, "gram").select("key", "start", "item_id").distinct(), "seed-pairs")
     once = found.groupBy("key", "start").agg(F.first("words").alias("words"))
-    named = items.withColumnRenamed("text", "item")
-    met = pairs.join(once, ["key", "start"]).join(named, pairs["item_id"].eqNullSafe(named["item_id"])).select("key", "start", pairs["item_id"], "item", "words")
+    named = items.select(F.col("item_id").alias("of"), F.col("text").alias("item"))
+    met = pairs.join(once, ["key", "start"]).join(named, F.col("item_id").eqNullSafe(F.col("of"))).select("key", "start", "item_id", "item", "words")
     scored = met.mapInPandas(_score, "key string, item_id long, start long, score double").where(F.col("score") >= least)
     return scored.groupBy("key", "item_id").agg(F.max("score").alias("score"), F.min("start").alias("start"))
 

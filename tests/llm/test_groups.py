@@ -107,7 +107,7 @@ def leaky(rng, items):
     out = [(noise(50), set()), (None, set()), ("", set())]
     for k, t in items.items():
         w = t.split()
-        edited = [x if rng.random() > 0.12 else "changed" for x in w]
+        edited = [x if rng.random() > 0.1 else "changed" for x in w]
         del edited[len(w) // 3]
         out += [(f"{noise(30)} {t.upper()}! {noise(9)}", {k}), (f"{noise(5)} {' '.join(edited)} {noise(40)}", {k}), (f"{noise(20)} {' '.join(w[:4])} {noise(20)}", set())]
     return out
