@@ -1,8 +1,4 @@
 """The queries that __spark_entry__.py registers, with their SQL twins."""
 
-from __future__ import annotations
-
-from cargolens.plans import relational
-
-QUERIES = dict(relational.QUERIES)
-ORACLES = dict(relational.ORACLES)
+from cargolens.plans import containers, relational  # noqa: F401  (they register their queries)
+from cargolens.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -4,28 +4,12 @@ The tables hold no containers: a query has an operator's shape, not a container'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import binary, names
 from cargolens.operators import aggregates, joins, sets, trees, windows
-
-QUERIES = {}
-ORACLES = {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from cargolens.plans.base import query, t
 
 @query("""SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 UNION ALL SELECT o_orderkey, 'order' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
