@@ -8,7 +8,7 @@ from cargolens.llm.lm_score import op4_lm_score
 from cargolens.llm.packing import op2_packing
 from cargolens.llm.pii import op10_pii
 from cargolens.llm.quality import op8_quality
-from cargolens.llm.secret_scan import op1_secret_scan
+from cargolens.llm.secret_scan import OP1_SQL, op1_secret_scan
 from cargolens.llm.simhash import op3_simhash
 from cargolens.llm.tokens import op7_token_count
 from cargolens.llm.url_filter import OP6_SQL, op6_url_filter
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
 }
-ORACLES = {"op6_url_filter": OP6_SQL}
+ORACLES = {"op1_secret_scan": OP1_SQL, "op6_url_filter": OP6_SQL}

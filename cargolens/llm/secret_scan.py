@@ -130,3 +130,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans_", lambda s: s["rule"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans_", lambda s: s["rule"] == kind)).cast("long").alias(f"n_{kind}")
     return found.withColumn("spans_", everything).select("doc_id", *map(count, BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans_")).alias("spans"))
+
+
+def _sql_spans(rule: str, pattern: str, keep: str = "true") -> str:
+    """SQL for (rid, start, rule, end) of a pattern's matches: what lies between them and the matches give the places."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT rid, CAST(m.e - length(m.w) AS BIGINT) AS s, '{rule}' AS rule, m.e AS e FROM (
+SELECT rid, unnest(list_transform(range(1, len(ms) + 1), lambda i: struct_pack(w := ms[i], e := CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) AS BIGINT)))) AS m
+FROM (SELECT rid, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}'))) WHERE {keep}"""
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_sql_spans("assign", "(?i)" + KEYWORD + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(m.w, '^(?i:{KEYWORD.replace(chr(39), chr(39) * 2)})', '')) >= 8")}
+UNION ALL {_sql_spans("access", "AKIA[A-Z0-9]{12,}")} UNION ALL {_sql_spans("hex", "[0-9a-f]{32,}")} UNION ALL {_sql_spans("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")}),
+g AS (SELECT rid, count_if(rule = 'assign') AS a, count_if(rule = 'access') AS b, count_if(rule = 'hex') AS c,
+  string_agg(rule || ':' || s || ':' || e, ',' ORDER BY s, list_position(['assign', 'access', 'hex', 'pem'], rule)) AS spans,
+  string_agg(rule || ':' || s || ':' || e, ',' ORDER BY s, list_position(['assign', 'access', 'hex'], rule)) FILTER (rule <> 'pem') AS base FROM f GROUP BY rid)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import duckdb
 from cargolens.llm import pii, secret_scan
 from cargolens.llm.common import matches, table
 from pyspark.sql import functions as F
@@ -49,6 +50,9 @@ def test_op1_matches_plain_search(spark, tmp_path):
     found = query(spark, tmp_path, secret_scan.op1_secret_scan, docs).collect()
     want = [(r[0], digest(r[1], SECRET, "start")) for r in data.rows()]
     assert data.bag((r.doc_id, r.base_sha256) for r in found) == data.bag(want)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert data.bag(map(tuple, found)) == data.bag(con.execute(secret_scan.OP1_SQL).fetchall())
     assert sum(r.n_assign for r in found) == sum(s.startswith("assign") for r in data.rows() for s in spans(r[1], SECRET, "start"))
 
 
