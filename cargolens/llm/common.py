@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cargolens.functions.staging import table  # noqa: F401  (all operators take it from here)
+
 #: White space that separates words in every contract: space, and tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 REPO = str(Path(__file__).resolve().parents[2])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (local tests)."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        at = f"file://{tempfile.mkdtemp(prefix='cargolens-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a later loss of an executor costs no more than the stage at hand."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cargolens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it; on a cluster it is installed or sent with --py-files."""
     env = spark.sparkContext.environment
