@@ -87,3 +87,24 @@ def sha1_text(text) -> Column:
     """A digest of 20 bytes from its hex text."""
     t = _c(text)
     return F.when(t.rlike("^[0-9A-Fa-f]{40}$"), F.unhex(t))
+
+
+#: In hex, two bytes to a unit: no surrogate, or a pair of them.
+UTF16 = "^(?:[0-9A-F]{2}(?!D[89A-F])[0-9A-F]{2}|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F])*+$"
+
+
+def utf16(data) -> Column:
+    """Text of little-endian UTF-16, null where it is malformed: decode() would fail the query."""
+    d = _c(data)
+    return F.when(F.hex(d).rlike(UTF16), F.decode(d, "UTF-16LE"))
+
+
+def utf8(data) -> Column:
+    """Text of UTF-8, null where it is malformed."""
+    return F.try_validate_utf8(_c(data).cast("string"))
+
+
+def ascii_text(data) -> Column:
+    """Text of bytes below 128, null where there are others."""
+    d = _c(data)
+    return F.when(F.hex(d).rlike("^(?:[0-7][0-9A-F])*+$"), F.decode(d, "US-ASCII"))

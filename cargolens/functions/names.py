@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cargolens.functions.binary import utf16
+
 #: Device names that Windows reserves, and characters that no name may have.
 RESERVED = r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
 FORBIDDEN = r"""[. ]$|[<>:"\\|?*]"""
@@ -83,4 +85,4 @@ def utf16_base64(name) -> Column:
     n = _c(name)
     raw = F.try_to_binary(n, F.lit("base64"))
     even = F.octet_length(raw) % 2 == 0
-    return F.when(even & (F.base64(raw) == n), F.decode(raw, "UTF-16LE"))
+    return F.when(even & (F.base64(raw) == n), utf16(raw))

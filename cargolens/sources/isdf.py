@@ -57,7 +57,7 @@ def records(found: DataFrame) -> DataFrame:
         body = p + 2 + size
         whole = acc["good"] & (body + 20 <= F.length(c))
         entry = F.struct(
-            F.decode(take(c, p + 2, size.cast("int")), "UTF-8").alias("original_name"),
+            F.make_valid_utf8(take(c, p + 2, size.cast("int")).cast("string")).alias("original_name"),
             little(c, body, 8).alias("stream_offset"),
             little(c, body + 8, 8).alias("stream_size"),
             little(c, body + 16, 4).alias("result_crc"),

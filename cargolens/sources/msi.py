@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions import names
-from cargolens.functions.binary import all_flags, any_flag, little, signed_cell, take
+from cargolens.functions.binary import all_flags, any_flag, ascii_text, little, signed_cell, take, utf8, utf16
 from cargolens.functions.staging import table
 from cargolens.operators import joins, sets, trees
 
 # Fixed values of the format.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz._"
 STRING_TYPE, MOST_ROWS, WIDEST_ROW, MOST_COLUMNS, DEEPEST = 0x0800, 65_536, 4096, 256, 256
-# Spark decodes these without its legacy setting; text in other code pages is null.
-CODE_PAGES = {0: "UTF-8", 65001: "UTF-8", 1252: "ISO-8859-1", 20127: "US-ASCII", 1200: "UTF-16LE"}
+#: Code pages of UTF-8; besides them 1252, 20127 (ASCII) and 1200 (UTF-16) are read, text in others is null.
+UTF8_PAGES = (0, 65001)
 
 
 def stream_name(raw: Column) -> Column:
@@ -55,10 +55,12 @@ def string_pool(streams: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = whole.select("path", "width", "page", "size", F.row_number().over(w).alias("string_id"), before.alias("at"))
     raw = take(F.col("text"), F.col("at").cast("int"), F.col("size").cast("int"))
-    text = F.lit(None).cast("string")
-    for number, charset in CODE_PAGES.items():
-        decoded = F.decode(raw, charset)
-        text = F.when(F.col("page") == number, F.translate(decoded, *WINDOWS) if number == 1252 else decoded).otherwise(text)
+    text = (
+        F.when(F.col("page").isin(*UTF8_PAGES), utf8(raw))
+        .when(F.col("page") == 1252, F.translate(F.decode(raw, "ISO-8859-1"), *WINDOWS))
+        .when(F.col("page") == 20127, ascii_text(raw))
+        .when(F.col("page") == 1200, utf16(raw))
+    )
     located = numbered.join(both.select("path", "text"), "path")
     return located.where("size > 0").select("path", F.col("string_id").cast("long").alias("string_id"), text.alias("value"), "width")
 

@@ -89,6 +89,14 @@ def test_scalar_numbers(spark):
     assert list(row) == [0xDEADBEEF, 0x0201, 0x030201, 0x0807060504030201, None, None, 0xEFBEADDE, True, False, 32, 3, False, None, 12, None, True, False]
 
 
+def test_malformed_text_is_null(spark):
+    texts = {"aé😀".encode("utf-16-le"): "aé😀", b"\x00\xd8a\x00": None, b"\x00\xdc": None, b"a": None, b"": ""}
+    got = {bytes(r[0]): r[1] for r in spark.createDataFrame([(bytearray(k),) for k in texts], "b binary").select("b", binary.utf16("b")).collect()}
+    assert got == texts
+    row = spark.range(1).select(binary.utf8(F.lit(bytearray(b"\xff"))), binary.utf8(F.lit(bytearray("é".encode()))), binary.ascii_text(F.lit(bytearray(b"a\x80"))), binary.ascii_text(F.lit(bytearray(b"a")))).first()
+    assert list(row) == [None, "é", None, "a"]
+
+
 def test_signed_cells_of_all_values(spark):
     got = {r[0]: r[1] for r in spark.range(65536).select("id", binary.signed_cell(F.col("id"), 16)).collect()}
     assert got == {i: None if i == 0 else struct.unpack("<h", struct.pack("<H", i ^ 0x8000))[0] for i in range(65536)}
