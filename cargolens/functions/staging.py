@@ -22,3 +22,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cargolens/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all staged tables; for when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cargolens")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ import struct
 import zlib
 
 import pytest
-from cargolens.functions import binary, names
+from cargolens.functions import binary, names, staging
 from cargolens.operators import aggregates, joins, sets, trees, windows
 from cargolens.sources import burn, detect, files, isdf, msi, sinks
 from cargolens.streaming import arrivals
@@ -292,3 +292,12 @@ def test_small_checks(spark):
     assert len({x.lower() for x in got}) == 7 and got[0] == "a.x" and got[3] == "a.c-2.x"
     assert trees.roots(spark.createDataFrame([("p", "a", None), ("p", "b", "a"), ("p", "c", "c")], "path string, k string, up string"), ["path"], "k", "up").first().roots == 2
     assert aggregates.dependency_violations(spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, None)], "k int, v int"), ["k"], ["v"]).collect()[0].k == 2
+
+
+def test_staged_tables_are_cleared(spark):
+    staged = staging.table(spark.range(5), "five")
+    assert staged.count() == 5
+    staging.clear(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        staging.table(spark.range(5), "five").count()
+        staged.count()
