@@ -11,6 +11,7 @@ stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ from cargolens.llm.common import ship, with_fields
 EXOTIC = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 MIXED = re.compile(r"[ \n\t\r]{2}|[\t\r\x01]")
 RUNS = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Units that a worker keeps, and the characters of the longest one kept.
-KEPT, LONGEST = 500_000, 48
+#: Units in a generation that a worker keeps, and the characters of the longest one kept.
+KEPT, LONGEST = 350_000, 48
 #: Rows and bytes of text handled at a time.
 ROWS, CHARS = 2000, 4_000_000
 
@@ -41,7 +42,7 @@ def units(text: str) -> list[str]:
 
 
 class Encoder:
-    """A tokenizer file, with ids (little-endian 32-bit) and counts of units kept."""
+    """A tokenizer file, with the ids (little-endian 32-bit) of units kept in two generations: what is used moves to the young one."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,8 +53,31 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.special = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=1)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        with open(path) as f:
+            spec = json.load(f)
+        # Tokens of a plain byte-level tokenizer have a character for each byte, so that their lengths tell where a unit ends.
+        self.sizes = None
+        if spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]:
+            vocabulary = self.tokenizer.get_vocab()
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
+    def _encode_joined(self, some: list[str]) -> None:
+        """Units that start with white space and end with none, in one go: their joints are cuts."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
+        raw, start = ids.tobytes(), 0
+        for u, end in zip(some, (4 * ends).tolist(), strict=True):
+            self.kept[u] = raw[start:end]
+            start = end
 
     def _encode(self, fresh: list[str]) -> None:
+        if self.sizes is not None:
+            joinable = [u for u in fresh if u and u[0] in " \n\t\r" and not u[-1].isspace()]
+            for i in range(0, len(joinable), 50):
+                self._encode_joined(joinable[i : i + 50])
+            fresh = [u for u in fresh if u not in self.kept]
         for i in range(0, len(fresh), 10_000):
             some = fresh[i : i + 10_000]
             for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -63,15 +87,17 @@ class Encoder:
         """For each text the ids of its units."""
         cut = [units(t) for t in texts]
         fresh = set().union(*cut).difference(self.kept)
-        if fresh:
-            self._encode(sorted(fresh))
+        new = fresh.difference(self.older)
+        for u in fresh.difference(new):
+            self.kept[u] = self.older[u]
+        if new:
+            self._encode(sorted(new))
         out = [list(map(self.kept.__getitem__, c)) for c in cut]
+        for u in new:
+            if len(u) > LONGEST:
+                del self.kept[u]
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        else:
-            for u in fresh:
-                if len(u) > LONGEST:
-                    del self.kept[u]
+            self.older, self.kept = self.kept, {}
         return out
 
 

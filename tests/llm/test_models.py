@@ -71,7 +71,7 @@ def test_op5_features_of_long_texts():
 def test_op4_probabilities_and_gradients():
     rng = np.random.default_rng(1)
     net = lm_score.Network({k: rng.normal(0, 0.3, s) for k, s in lm_score.SHAPES.items()})
-    ids, row = lm_score.ids_of(["a b c d e", "", "f g"], {b"a": 70, b"c": 900})
+    ids, row = lm_score.ids_of(["a b c d e", "", "f g"], lm_score.Words({b"a": 70, b"c": 900}))
     at = np.flatnonzero(row >= 0)
     assert row[at].tolist() == [0] * 5 + [2] * 2 and len(ids) == 7 + 3 * 2 * lm_score.SIDE
     one = at[2:3]
