@@ -118,7 +118,8 @@ def extract(documents: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     trusted = patterns(rows, documents).where(F.col("confidence") >= confident).select("left")
     more = rows.select("blob", F.explode("cands").alias("c")).select("blob", "c.*").join(trusted, "left", "left_semi")
     span = F.struct(F.col("start"), F.lit("context").alias("kind"), F.col("end"))
-    more = more.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("context"))
+    # A written table: the join reads both sides by shuffles that Spark can split, however many rows share a text.
+    more = table(more.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("context")), "context-spans")
     none = F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>")
     return rows.drop("cands").join(more, "blob", "left").withColumn("context", F.coalesce("context", none))
 
