@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the documents keeps the passages around word n-grams that may be an item's (a bit map of fixed size says so). An
-item's seeds are its n-grams but those that the corpus has far more often than the item's median one: rarity is measured
-within the item, so that an item that many documents copy has seeds, too. Passages meet items on seeds, and local alignment of their words scores each pair: copies with words
-changed, left out or put in still align. A pair is a leak if its score is at least SCORE of a whole copy's.
+One pass over the documents keeps the passages around word n-grams that may be an item's (a bit map of fixed size says so). All
+n-grams of an item are seeds, however many documents have them: those that survive in a copy may be just the frequent ones, as
+when many documents hold the same edited copy. Distinct passages meet items on seeds; pairs with too few words in common to reach the
+score drop out, and local alignment of their words scores the rest: copies with words changed, left out or put in still align. A
+pair is a leak if its score is at least SCORE of a whole copy's.
 
 Defined results: a null text has no passages. Leaks are per text: repeated rows and equal texts all get them, and rows with
 null ids, too. Items with fewer words than an n-gram have none; they, null and empty items are never found. Items with null
@@ -13,6 +14,7 @@ id count. Empty tables give an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,6 @@ from cargolens.llm.tokens import slices
 WORD = re.compile(r"\w+")
 #: Words to a seed; bits of the map (as a power of two); the least score, of that of a whole copy.
 GRAM, MAP_BITS, SCORE = 3, 24, 0.5
-#: A seed occurs at most so many times as often as the median n-gram of its item (that counts as 1 at least).
-RARE = 8
 MATCH, OTHER, GAP = 2, -1, 1
 #: Cells of the alignment that one task holds at a time.
 CELLS = 2_000_000
@@ -124,12 +124,14 @@ def align(items: list[list[int]], texts: list[list[int]]) -> np.ndarray:
     return best
 
 
-def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _score(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
     for f in frames:
         ids: dict[str, int] = {}
         number = lambda t: [ids.setdefault(w, len(ids)) for w in t]
         pairs = [(number(WORD.findall(x.lower())), number(y.split(" "))) for x, y in zip(f["item"], f["words"], strict=True)]
-        order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][1]))
+        # No alignment matches more words than both have; pairs that can't reach the least score stay at 0.
+        able = [k for k, (x, y) in enumerate(pairs) if (Counter(x) & Counter(y)).total() >= least * len(x)]
+        order = sorted(able, key=lambda k: len(pairs[k][1]))
         scores, some, wide = np.zeros(len(pairs)), [], 0
         for k in [*order, None]:
             if some and (k is None or (len(some) + 1) * max(wide, len(pairs[k][1])) > CELLS):
@@ -139,7 +141,7 @@ def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if k is not None:
                 some.append(k)
                 wide = max(wide, len(pairs[k][1]))
-        yield pd.DataFrame({"key": f["key"], "item_id": f["item_id"], "start": f["start"], "score": scores})
+        yield pd.DataFrame({"passage": f["passage"], "item_id": f["item_id"], "score": scores})
 
 
 def key_of(text: Column) -> Column:
@@ -154,17 +156,14 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, bits: int =
     longest = grams.agg(F.max("n_words")).first()[0] or 0
     texts = documents.select(key_of(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = table(passages(texts, bit_map(grams, bits), bits, gram, longest), "passages")
-    hits = found.select("key", "start", F.explode("hits").alias("gram"))
-    often = hits.groupBy("gram").count()
-    counted = table(grams.join(often, "gram", "left").select("gram", "item_id", F.coalesce("count", F.lit(0)).alias("n")), "gram-counts")
-    usual = counted.groupBy(F.col("item_id").alias("of")).agg(F.greatest(F.median("n"), F.lit(1.0)).alias("usual"))
-    seeds = counted.join(usual, F.col("item_id").eqNullSafe(F.col("of"))).where(F.col("n").between(1, RARE * F.col("usual"))).select("gram", "item_id")
-    seeds = table(seeds, "seeds")
-    pairs = table(hits.join(seeds, "gram").select("key", "start", "item_id").distinct(), "seed-pairs")
-    once = found.groupBy("key", "start").agg(F.first("words").alias("words"))
+    found = found.withColumn("passage", F.md5("words"))
+    once = table(found.groupBy("passage").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "distinct-passages")
+    hits = once.select("passage", F.explode("hits").alias("gram"))
+    pairs = table(hits.join(grams.select("gram", "item_id"), "gram").select("passage", "item_id").distinct(), "seed-pairs")
     named = items.select(F.col("item_id").alias("of"), F.col("text").alias("item"))
-    met = pairs.join(once, ["key", "start"]).join(named, F.col("item_id").eqNullSafe(F.col("of"))).select("key", "start", "item_id", "item", "words")
-    scored = met.mapInPandas(_score, "key string, item_id long, start long, score double").where(F.col("score") >= least)
+    met = pairs.join(once.select("passage", "words"), "passage").join(named, F.col("item_id").eqNullSafe(F.col("of"))).select("passage", "item_id", "item", "words")
+    good = met.mapInPandas(lambda frames: _score(frames, least), "passage string, item_id long, score double").where(F.col("score") >= least)
+    scored = found.select("passage", "key", "start").join(table(good, "copies"), "passage")
     return scored.groupBy("key", "item_id").agg(F.max("score").alias("score"), F.min("start").alias("start"))
 
 

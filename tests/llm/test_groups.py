@@ -180,3 +180,16 @@ def test_pipeline_stages(spark, tmp_path):
     key = lambda found: data.bag((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found)
     assert key(whole) == key(packed)
     assert secret_scan.RULES
+
+
+def test_op9_finds_edited_copies_in_any_number(spark):
+    """Each fourth word changed: few trigrams survive, and those stand in all the copies."""
+    rng = random.Random(13)
+    items = {i: [f"t{i}x{k}" for k in range(40)] for i in range(3)}
+    noise = lambda: " ".join(f"n{rng.randrange(5000)}" for _ in range(90))
+    copies = [(i, f"{noise()} {' '.join('changed' if k % 4 == 3 else x for k, x in enumerate(items[i]))} {noise()}") for i, n in ((0, 8), (1, 9), (2, 200)) for _ in range(n)]
+    copies.append((2, " ".join(items[2])))
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(copies)], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"), bits=16)
+    got = docs.withColumn("key", decontaminate.key_of(F.col("text"))).join(found, "key").select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == [(k, i) for k, (i, _) in enumerate(copies)]
