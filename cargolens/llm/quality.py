@@ -1,15 +1,16 @@
 """Quality rules: word and line counts, and divergence from language references.
 
 The references are learned from the corpus, over all documents: for each language its most common words, and the shares of
-character classes and of those words. A document is compared with the reference of its language (else with the one over all
-languages) by Jensen-Shannon distance (base 2, 0 to 1) over both histograms; documents too short for a histogram to mean
-anything are not judged by it.
+character classes and of those words. A document is compared with the reference of its language by Jensen-Shannon distance
+(base 2, 0 to 1) over both histograms; one without a language only by its character classes, with those of all languages, as the
+words of other languages say nothing about it. Documents too short for a histogram to mean anything are not judged by it.
+References are a joined table, one row for each language.
 
 Native: DataFrame functions only.
 
 Defined results: a null text has no words and fails. Rows are never merged: repeated rows, and rows with null or repeated ids,
-each get a verdict. A null or rare language is judged by the reference over all languages. An empty table gives an empty
-result.
+each get a verdict. With a null language, or one without a word in the corpus, word_distance is null. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from cargolens.llm.common import BLANKS, let, table, words
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes, besides the rest (letters in lower case, mostly).
 CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "blank": r"[\x20\x09-\x0D]", "symbol": SYMBOLS, "point": r"""[.,;:!?'"()\-]"""}
-#: Common words to a language; languages with a reference of their own, the most frequent ones (the driver holds that many rows).
-COMMON, LANGUAGES = 32, 64
+#: Common words to a language.
+COMMON = 32
 #: A document is judged by its characters from so many on, by its words from so many on.
 LEAST_CHARS, LEAST_WORDS = 200, 100
 FAR_CLASSES, FAR_WORDS = 0.3, 0.36
@@ -49,10 +50,9 @@ def repeat_words(w: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact(h)).otherwise(F.lit(0)))
 
 
-def measures(documents: DataFrame, common: DataFrame, known: list[str]) -> DataFrame:
+def measures(documents: DataFrame, common: DataFrame) -> DataFrame:
     """Rows of documents without text, with counts, class counts, and counts of the common words of their reference; one pass over the texts."""
     text = F.coalesce("text", F.lit(""))
-    ref = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ALL)) if known else F.lit(ALL)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     classes = [F.length(F.regexp_replace(text, rf"[^{c[1:-1] if c[0] == '[' else c}]++", "")).cast("long") for c in CLASSES.values()]
 
@@ -66,7 +66,8 @@ def measures(documents: DataFrame, common: DataFrame, known: list[str]) -> DataF
         )
 
     keep = [c for c in documents.columns if c.lower() not in RESULTS]
-    at = documents.select(*keep, "text", ref.alias("ref")).join(F.broadcast(common), "ref", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    at = documents.select(*keep, "text", F.col("lang").alias("_lang")).join(common, F.col("_lang") == F.col("ref"), "left").drop("_lang")
+    at = at.withColumns({"ref": F.coalesce("ref", F.lit(ALL)), "common": F.coalesce("common", F.array().cast("array<string>"))})
     out = at.select(
         *keep,
         "ref",
@@ -80,13 +81,10 @@ def measures(documents: DataFrame, common: DataFrame, known: list[str]) -> DataF
 
 
 def common_words(documents: DataFrame) -> DataFrame:
-    """(ref, common): the most common words of each language, and over all as `*`; at most LANGUAGES + 1 rows."""
-    counts = table(documents.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    frequent = counts.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
-    own = counts.join(F.broadcast(frequent.select("lang")), "lang").select(F.col("lang").alias("ref"), "word", "n")
-    over_all = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("ref"), "word", "n")
+    """(ref, common): the most common words of each language."""
+    counts = documents.where((F.col("lang").isNotNull()) & (F.col("lang") != ALL)).select(F.col("lang").alias("ref"), F.explode(words(F.lower("text"))).alias("word")).groupBy("ref", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = Window.partitionBy("ref").orderBy(F.desc("n"), "word")
-    top = own.unionByName(over_all).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= COMMON)
+    top = counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= COMMON)
     return top.groupBy("ref").agg(F.sort_array(F.collect_list("word")).alias("common"))
 
 
@@ -105,16 +103,15 @@ def shares(counts: Column, total: Column) -> Column:
 def judge(documents: DataFrame) -> DataFrame:
     """Rows of documents without text, with the counts, base_failed, both distances, and kept."""
     common = table(common_words(documents), "common-words")
-    known = [r.ref for r in common.where(F.col("ref") != ALL).select("ref").collect()]
-    rows = table(measures(documents, common, known), "quality-measures")
+    rows = table(measures(documents, common), "quality-measures")
     sums = lambda name, n: F.array(*(F.sum(F.col(name)[i]).cast("long") for i in range(n)))
     big = rows.where(F.col("n_words") >= 50)
     own = big.where(F.col("ref") != ALL).groupBy("ref").agg(F.sum("chars").alias("c"), F.sum("n_words").alias("w"), sums("class_counts", len(CLASSES)).alias("cc"), sums("word_counts", COMMON).alias("wc"))
-    # The reference over all takes every document's classes; its words are counted in the documents that have no reference of their own.
-    whole = big.agg(F.sum("chars").alias("c"), F.sum(F.when(F.col("ref") == ALL, F.col("n_words"))).alias("w"), sums("class_counts", len(CLASSES)).alias("cc"), F.array(*(F.sum(F.when(F.col("ref") == ALL, F.col("word_counts")[i])) for i in range(COMMON))).alias("wc"))
-    refs = own.unionByName(whole.select(F.lit(ALL).alias("ref"), "c", "w", "cc", "wc"))
+    # The reference over all takes every document's classes, and has no words.
+    whole = big.agg(F.sum("chars").alias("c"), sums("class_counts", len(CLASSES)).alias("cc"))
+    refs = own.unionByName(whole.select(F.lit(ALL).alias("ref"), "c", F.lit(None).cast("long").alias("w"), "cc", F.lit(None).cast("array<long>").alias("wc")))
     refs = refs.select("ref", shares(F.col("cc"), F.col("c")).alias("ref_classes"), shares(F.filter("wc", lambda x: x.isNotNull()), F.col("w")).alias("ref_words"))
-    rows = rows.join(F.broadcast(refs), "ref", "left")
+    rows = rows.join(table(refs, "quality-references"), "ref", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumns(
         {

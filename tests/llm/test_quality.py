@@ -55,3 +55,18 @@ def test_op8_distance(spark):
     m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
     half = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
     assert abs(got - math.sqrt((half(p) + half(q)) / 2)) < 1e-12
+
+
+def test_op8_judges_no_document_by_words_of_other_languages(spark):
+    """Plain prose stays, whatever the number of languages, and where the language is null."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    prose = [r for r in docs.collect() if not re.search(r"[|]|!!|[#*$%&]{3}", r.text) and len(r.text.split()) >= 100 and not brute(r.text)[-1]]
+    few = [r for r in prose if r.lang != "en"]
+    unnamed = [(r.doc_id, r.text, None if r.lang == "en" or i % 2 else r.lang) for i, r in enumerate(prose)]
+    many = [(r.doc_id, r.text, f"{r.lang}{i % 40}") for i, r in enumerate(few)]  # over 100 languages
+    for rows in (unnamed, many):
+        got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+        assert len(got) == len(rows) > 100 and all(r.kept for r in got)
+    assert len({r[2] for r in many}) > 64
+    loud = quality.judge(spark.createDataFrame([*unnamed, (-1, prose[0].text.upper(), None)], "doc_id long, text string, lang string")).where("doc_id = -1").first()
+    assert not loud.kept
