@@ -4,8 +4,9 @@ The driver sees only how many pieces each length has (at most one row for each l
 lengths from long to short, each into the open sequences with the least room that holds it, whole runs of equal sequences at
 a time. The plan says which ranks of a length go to which sequences; a piece finds its slot by its rank within its length.
 
-Defined results: repeated rows are pieces of their own. Null texts are empty and have the end id only. An empty table gives
-an empty result. Other columns are kept.
+Defined results: repeated rows are pieces of their own. Null texts are empty and have the end id only; null ids stay. Texts of any
+length are encoded whole. Pieces that tie in length are ranked by their order columns; any two of them may change places. An empty
+table gives an empty result. Other columns are kept, whatever their names; those with the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -67,31 +68,33 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
 
 def pack(items: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces with a length column. order: columns that tell pieces apart.
+    """Adds sequence_id and offset to a written table of pieces with a length column; columns with these names are replaced. order: columns that tell pieces apart.
 
-    Ranks are counted within salted parts of a length, so that a length which a third of all pieces have is no one task's."""
+    Ranks are counted within salted parts of a length, so that a length which a third of all pieces have is no one task's. A piece's
+    own columns go along as one struct, so that their names clash with none here."""
     spark = items.sparkSession
     salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    parts = table(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    keep = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    salted = items.select(F.struct(*keep).alias("item"), "length", F.struct(*order).alias("order")).withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(salts)))
+    parts = table(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = F.broadcast(spark.createDataFrame(plan(histogram, size), PLAN))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    bases = parts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("_within", within).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_within"))
-    at = F.col("_rank") - F.col("first")
-    slotted = ranked.join(slots.withColumnRenamed("offset", "_offset"), "length").where((F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("upto")))
-    return slotted.select(*items.columns, (F.col("sequence") + F.floor(at / F.col("each"))).alias("sequence_id"), (F.col("_offset") + F.pmod(at, F.col("each")) * F.col("length")).alias("offset"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    bases = parts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("order")) - 1
+    ranked = salted.withColumn("within", within).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("within"))
+    at = F.col("rank") - F.col("first")
+    slotted = ranked.join(slots, "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto")))
+    placed = slotted.select("item", (F.col("sequence") + F.floor(at / F.col("each"))).alias("sequence_id"), (F.col("offset") + F.pmod(at, F.col("each")) * F.col("length")).alias("offset"))
+    return placed.select("item.*", "sequence_id", "offset")
 
 
 def packed(documents: DataFrame, size: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of documents, with ids_crc32 (and ids), sequence_id and offset."""
     import public_tokenizers as public
 
-    cut = pieces(documents, public.path("byte_bpe_50k.json"), size, end_id)
-    cut = cut.withColumn("ids_crc32", F.crc32("ids"))
-    cut = table(cut if with_ids else cut.drop("ids"), "pieces")
+    cut = pieces(documents, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), size, end_id, with_ids)
+    cut = table(cut, "pieces")
     return pack(cut, size, [c for c in cut.columns if c in ("doc_id", "piece", "start", "ids_crc32")])
 
 

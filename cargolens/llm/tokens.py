@@ -1,7 +1,7 @@
 """Token ids and token counts of whole texts with public tokenizers, in Arrow batches.
 
-A text is cut where its tokenizer surely cuts it too: before white space that follows other characters. The units between
-such cuts repeat over a corpus, so each worker encodes each distinct unit once and keeps it while it has room.
+For counts, a text is cut where its tokenizer surely cuts it too: before white space that follows other characters. The units
+between such cuts repeat over a corpus, so each worker encodes each distinct unit once and keeps it while it has room.
 
 Counts of huge documents resynchronise overlapping chunks: see spliced().
 
@@ -11,9 +11,10 @@ stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
+import base64
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ RUNS = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 KEPT, LONGEST = 350_000, 48
 #: Rows and bytes of text handled at a time.
 ROWS, CHARS = 2000, 4_000_000
+#: What keeps a text from the ranks: other characters than these, whose classes no version of the libraries' Unicode tables disputes.
+UNSURE = re.compile("[^\n\t\r\x20-\x7e\u00a1-\u024f]")
 
 
 def units(text: str) -> list[str]:
@@ -54,30 +57,8 @@ class Encoder:
         self.special = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=1)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        with open(path) as f:
-            spec = json.load(f)
-        # Tokens of a plain byte-level tokenizer have a character for each byte, so that their lengths tell where a unit ends.
-        self.sizes = None
-        if spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]:
-            vocabulary = self.tokenizer.get_vocab()
-            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-
-    def _encode_joined(self, some: list[str]) -> None:
-        """Units that start with white space and end with none, in one go: their joints are cuts."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
-        raw, start = ids.tobytes(), 0
-        for u, end in zip(some, (4 * ends).tolist(), strict=True):
-            self.kept[u] = raw[start:end]
-            start = end
 
     def _encode(self, fresh: list[str]) -> None:
-        if self.sizes is not None:
-            joinable = [u for u in fresh if u and u[0] in " \n\t\r" and not u[-1].isspace()]
-            for i in range(0, len(joinable), 50):
-                self._encode_joined(joinable[i : i + 50])
-            fresh = [u for u in fresh if u not in self.kept]
         for i in range(0, len(fresh), 10_000):
             some = fresh[i : i + 10_000]
             for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -101,7 +82,34 @@ class Encoder:
         return out
 
 
+class ByteEncoder:
+    """Ids of a byte-level tokenizer file. Nothing is kept from text to text.
+
+    ranks: the file's vocabulary for the other library, which has the same merges and is four times as fast. Texts with an added
+    token's string or with UNSURE characters go to the file's own library."""
+
+    def __init__(self, path: str, ranks: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if UNSURE.search(text) or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+
 _ENCODERS: dict[str, Encoder] = {}
+_BYTE_ENCODERS: dict[str, ByteEncoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -111,6 +119,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def byte_encoder(path: str, ranks: str) -> ByteEncoder:
+    if path not in _BYTE_ENCODERS:
+        _BYTE_ENCODERS[path] = ByteEncoder(path, ranks)
+    return _BYTE_ENCODERS[path]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = ROWS, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
     """Batches of a bounded number of rows and characters."""
     for b in batches:
@@ -125,34 +139,37 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = ROWS, cha
             yield b.slice(start)
 
 
-def pieces(documents: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
-    """Rows of documents without text, for each piece of at most size tokens, with piece, start, length and ids (binary).
+def pieces(documents: DataFrame, path: str, ranks: str, size: int, end_id: int, with_ids: bool = False) -> DataFrame:
+    """Rows of documents without text, for each piece of at most size tokens, with piece, start, length, ids_crc32 and ids (binary, if asked for).
 
     A document's tokens end with end_id. Only longer ones are cut; all pieces but the first are full."""
     ship(documents.sparkSession)
     keep = [c for c in documents.columns if c.lower() not in ("text", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")]
     rows = documents.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    schema = with_fields(rows.drop("text"), "piece int, start long, length long, ids binary")
-    end = np.array([end_id], "<u4").tobytes()
+    schema = with_fields(rows.drop("text"), "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = byte_encoder(path, ranks)
         for b in slices(batches, "text"):
-            at, piece, starts, lengths, ids = [], [], [], [], []
-            for i, parts in enumerate(enc.encode(b.column("text").to_pylist())):
-                raw = b"".join((*parts, end))
-                n = len(raw) // 4
-                cuts = [0, *range(n % size or size, n + 1, size)]
-                for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    at.append(i)
-                    piece.append(k)
-                    starts.append(a)
-                    lengths.append(z - a)
-                    ids.append(raw[4 * a : 4 * z])
-            rest = b.drop_columns(["text"]).take(pa.array(at, pa.int64()))
-            columns = [*rest.columns, pa.array(piece, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "piece", "start", "length", "ids"])
-
+            parts = [enc.ids(t.as_py()) for t in b.column("text")]
+            n = np.array([len(p) + 1 for p in parts], np.int64)
+            each = -(-n // size)
+            at = np.repeat(np.arange(len(n)), each)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+            first = (n - (each - 1) * size)[at]
+            start = np.where(piece == 0, 0, first + (piece - 1) * size)
+            length = np.where(piece == 0, first, size)
+            raw = np.concatenate([x for p in parts for x in (p, end)]).astype("<u4").tobytes()
+            cuts = 4 * np.append(0, np.cumsum(length))
+            view = memoryview(raw)
+            crc = [zlib.crc32(view[a:z]) for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+            columns = [*b.drop_columns(["text"]).take(pa.array(at)).columns, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            if with_ids:
+                columns.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)]))
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*b.drop_columns(["text"]).schema, *zip(names, (c.type for c in columns[-len(names) :]), strict=True)]))
+
+    names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     return rows.mapInArrow(run, schema)
 
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tests.llm import data
 
-BYTES, WORDS = public.path("byte_bpe_50k.json"), public.path("word_bpe_49k.json")
+BYTES, RANKS, WORDS = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.path("word_bpe_49k.json")
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -25,6 +25,18 @@ def test_op2_op7_units_encode_as_whole_texts(path):
         assert np.frombuffer(b"".join(got), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)[:200]
 
 
+def test_op2_ranks_give_the_ids_of_the_file():
+    lib, enc = Tokenizer.from_file(BYTES), tokens.ByteEncoder(BYTES, RANKS)
+    rng = random.Random(15)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x1c", "\u3000", "a", "don't", "'S", "''", "!!", "12", "é", "e\u0301", "😀", "<|endoftext|>", "<|start", "İ", "ß", "ĳ", "ª", "²", "½", "\xad", "¿", "漢字", "\x01", "\x7f", "x" * 60]
+    safe = [p for p in parts if not tokens.UNSURE.search(p)]
+    texts = ["".join(rng.choices(rng.choice([parts, safe]), k=rng.randint(1, 14))) for _ in range(6000)] + [r[1] or "" for r in data.rows()]
+    texts += ["".join(rng.choices("abcdefghij", k=100_000)), " " * 50_000, "\n \n" * 20_000 + "x"] + [chr(c) * 3 + " " + chr(c) for c in range(0x250)]
+    for t in texts:
+        assert enc.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)[:200]
+    assert sum(not tokens.UNSURE.search(t) for t in texts) > 2000
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_op7_splices_as_whole_texts(path):
     lib, enc = Tokenizer.from_file(path), tokens.Encoder(path)
@@ -97,3 +109,12 @@ def test_op2_packs_everything(spark):
     check_gapless(sequences, 1024)
     assert len(sequences) == slow_plan(Counter(w[3] for w in want), 1024)
     assert packing.packed(data.empty(spark)).count() == 0
+
+
+def test_op2_keeps_columns_of_any_name(spark):
+    names = ["first", "upto", "sequence", "each", "rank", "within", "base", "salt", "item", "order", "offset", "length"]
+    docs = spark.createDataFrame([(i, "a b c" * i, *range(len(names))) for i in range(20)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = packing.packed(docs, with_ids=True)
+    assert got.columns == ["doc_id", *names[:-2], "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    rows = got.collect()
+    assert len(rows) == 20 and all(r.first == 0 and r.order == 9 and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
