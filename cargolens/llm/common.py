@@ -11,8 +11,6 @@ from pyspark.sql.types import StructType
 
 from cargolens.functions.staging import table  # noqa: F401  (all operators take it from here)
 
-#: White space that separates words in every contract: space, and tab to carriage return.
-BLANKS = r"[\x20\x09-\x0D]+"
 REPO = str(Path(__file__).resolve().parents[2])
 
 
@@ -34,9 +32,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words(text: Column) -> Column:
-    """The words of a text, null or blank: none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
+def spaced(text: Column) -> Column:
+    """The text with blanks for all white space that separates words."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def split_words(text: Column) -> Column:
+    """The words of a text, null or blank: none; at a fraction of what a regular expression takes."""
+    return F.filter(F.split(spaced(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
 
 
 #: Elements to a block of running_sums: within one, and over the blocks, the fold copies its growing array.

@@ -70,3 +70,59 @@ def test_op8_judges_no_document_by_words_of_other_languages(spark):
     assert len({r[2] for r in many}) > 64
     loud = quality.judge(spark.createDataFrame([*unnamed, (-1, prose[0].text.upper(), None)], "doc_id long, text string, lang string")).where("doc_id = -1").first()
     assert not loud.kept
+
+
+def slow_verdicts(rows):
+    """(id, class_distance, word_distance, kept) for (id, text, lang) rows, in plain Python."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    counted = {}
+    for _, t, lang in rows:
+        if lang is not None and t:
+            counted.setdefault(lang, Counter()).update(split(t.lower()))
+    usual = {k: sorted(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]) for k, c in counted.items() if c}
+    import regex
+
+    def measure(t, lang):
+        t = t or ""
+        classes = [len(regex.findall(c, t)) for c in quality.CLASSES.values()]
+        own = Counter(w.lower() for w in split(t))
+        return len(t), classes, len(split(t)), [own[w] for w in usual.get(lang, [])]
+
+    rest = lambda c, n: [x / max(n, 1) for x in (*c, n - sum(c))]
+    measured = [measure(t, lang) for _, t, lang in rows]
+    sums = {}
+    for (_, _, lang), (chars, classes, words, common) in zip(rows, measured, strict=True):
+        if words >= 50:
+            for ref in {lang if lang in usual else "*", "*"}:
+                s = sums.setdefault(ref, [0, [0] * len(classes), 0, [0] * len(common)])
+                s[0], s[1], s[2] = s[0] + chars, [a + b for a, b in zip(s[1], classes, strict=True)], s[2] + words
+                if ref != "*":
+                    s[3] = [a + b for a, b in zip(s[3], common, strict=True)]
+
+    def far(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        half = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return math.sqrt(max(0, (half(p) + half(q)) / 2))
+
+    out = []
+    for (i, t, lang), (chars, classes, words, common) in zip(rows, measured, strict=True):
+        s = sums.get(lang if lang in usual else "*")
+        of_classes = far(rest(classes, chars), rest(s[1], s[0])) if s else None
+        of_words = far(rest(common, words), rest(s[3], s[2])) if s and lang in usual else None
+        odd = chars >= quality.LEAST_CHARS and (of_classes or 0) > quality.FAR_CLASSES or words >= quality.LEAST_WORDS and (of_words or 0) > quality.FAR_WORDS
+        out.append((i, of_classes, of_words, not brute(t)[-1] and not odd))
+    return out
+
+
+def test_op8_verdicts_and_distances(spark):
+    rows = [(r[0], r[1], r[2]) for r in data.rows()]
+    rows += [(-k, rows[k][1] and (rows[k][1].upper() if k % 2 else rows[k][1].replace(" ", " # ")), rows[k][2]) for k in range(1, 60)]
+    names = ["row", "ref", "of", "w", "own", "common", "ref_words", "ref_classes", "word_counts", "class_counts", "hashes", "kept"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names)).repartition(5)
+    found = quality.judge(docs)
+    assert found.columns == ["doc_id", "lang", *names[:-1], *quality.RESULTS]
+    near = lambda x: x is not None and round(x, 9)
+    got = [(r.doc_id, near(r.class_distance), near(r.word_distance), r.kept) for r in found.collect()]
+    want = [(i, near(a), near(b), k) for i, a, b, k in slow_verdicts(rows)]
+    assert data.bag(got) == data.bag(want)
+    assert 20 < sum(not r[3] for r in want) < len(rows) - 20
