@@ -6,9 +6,10 @@ to all paths by a join on the blob. A run over an earlier ledger scans only pair
 
 Native: DataFrame functions only.
 
-Defined results: a null text counts as the empty text. Rows are never merged: repeated rows, and rows with null or
-repeated ids, each get their blob's findings. An empty table gives an empty result. Other columns are kept, unless they
-have the name of a result column.
+Defined results: a null text counts as the empty text. Texts of any length are scanned whole. Spans that start together are in the
+order of their kinds. Rows are never merged: repeated rows, and rows with null or repeated ids, each get their blob's findings. An
+empty table gives an empty result. Other columns are kept, whatever their names, but for text and those with the name of a result
+column.
 """
 
 from __future__ import annotations
@@ -43,50 +44,62 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 #: One row for each blob and run: the rule versions applied, and all that they found.
-LEDGER = "blob string, applied array<struct<rule:string,version:int>>, found array<struct<start:bigint,rule:string,end:bigint>>"
+SPANS = "array<struct<start:bigint,rule:string,end:bigint,version:int>>"
+LEDGER = f"blob string, applied array<struct<rule:string,version:int>>, found {SPANS}"
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows for blobs (blob, text); pairs of blob and rule version in the given ledger are not scanned again."""
-    wanted = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-    if ledger is None:
-        todo = blobs.select("blob", "text", wanted.alias("applied"))
-    else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("applied"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").select("blob", "text", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>"))).alias("applied"))
-        todo = todo.where(F.size("applied") > 0)
+def versions_of(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
+
+
+def unseen(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, applied): the rule versions that the ledger lacks, for blobs (blob) that lack some."""
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("applied"))).alias("seen"))
+    todo = blobs.select("blob").distinct().join(seen, "blob", "left")
+    none = F.array().cast("array<struct<rule:string,version:int>>")
+    return todo.select("blob", F.array_except(versions_of(rules), F.coalesce("seen", none)).alias("applied")).where(F.size("applied") > 0)
+
+
+def scan(todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Ledger rows for (blob, text, applied): only the rule versions in applied are run."""
 
     def found(r: Rule) -> Column:
         hits = matches(F.col("text"), r.pattern)
         kept = F.filter(hits, lambda m: r.keep(m["word"])) if r.keep else hits
-        spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(r.name).alias("rule"), m["end"].alias("end")))
+        spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(r.name).alias("rule"), m["end"].alias("end"), F.lit(r.version).alias("version")))
         new = F.exists("applied", lambda a: (a["rule"] == r.name) & (a["version"] == r.version))
-        return F.when(new, spans).otherwise(F.array().cast("array<struct<start:bigint,rule:string,end:bigint>>"))
+        return F.when(new, spans).otherwise(F.array().cast(SPANS))
 
     return todo.select("blob", "applied", F.concat(*map(found, rules)).alias("found"))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(versions with blob and found, new ledger rows) for a table of document versions with a text column.
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(versions with blob and found, new ledger rows) for a table of document versions; text: the column of their texts.
 
-    One text of each blob is kept before the shuffle, so that a text which a third of all rows share travels once from each
-    task. The ledger is a written table: the join that brings findings back reads both sides by shuffles which Spark can split."""
-    addressed = versions.withColumn("blob", blob_of(F.col("text")))
-    blobs = addressed.groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
-    new = table(scan(blobs, ledger, rules), "ledger")
-    known = new.select("blob", "found")
-    if ledger is not None:
-        in_force = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-        runs = new.unionByName(ledger).where(F.arrays_overlap("applied", in_force))
-        known = runs.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    known = known.where(F.size("found") > 0)
-    keep = [c for c in addressed.columns if c.lower() != "found" and (with_text or c.lower() != "text")]
-    none = F.array().cast("array<struct<start:bigint,rule:string,end:bigint>>")
-    return addressed.select(*keep).join(known, "blob", "left").withColumn("found", F.sort_array(F.coalesce("found", none))), new
+    Only hashes are compared with the ledger; texts of blobs that it has whole stay where they are if the list of the others is small
+    enough for Spark to broadcast. One text of each blob is kept before the shuffle, so that a text which a third of all rows share
+    travels once from each task. The new ledger rows are a written table: the join that brings findings back reads both sides by
+    shuffles which Spark can split. What a version of a rule found counts only while that version is in force."""
+    addressed = versions.withColumn("blob", blob_of(F.col(text)))
+    each = addressed.select("blob", F.coalesce(text, F.lit("")).alias("text"))
+    if ledger is None:
+        todo = each.groupBy("blob").agg(F.first("text").alias("text")).withColumn("applied", versions_of(rules))
+    else:
+        lacking = table(unseen(each, ledger, rules), "unseen-blobs")
+        some = each.join(lacking.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        todo = some.join(lacking, "blob")
+    new = table(scan(todo, rules), "ledger")
+    runs = new if ledger is None else new.unionByName(ledger.select(*new.columns))
+    in_force = F.filter("found", lambda s: F.array_contains(versions_of(rules), F.struct(s["rule"].alias("rule"), s["version"].alias("version"))))
+    known = runs.select("blob", in_force.alias("found")).where(F.size("found") > 0)
+    if ledger is not None:  # rules of a blob may have been run at different times
+        known = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    keep = [c for c in addressed.columns if c.lower() not in ("found", "text")]
+    return addressed.select(*keep).join(known, "blob", "left").withColumn("found", F.sort_array(F.coalesce("found", F.array().cast(SPANS)))), new
 
 
 def spans_text(spans: Column) -> Column:
@@ -103,10 +116,11 @@ def by_start(found: Column, order: tuple[str, ...]) -> Column:
 
 def redact(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every found span replaced by mask (spans that overlap give one); n_chars, if there, is counted again."""
-    whole = documents.select(F.struct(*documents.columns).alias("row"), "text")
-    found, _ = scan_versions(whole, with_text=True)
+    # The text travels once, in its row.
+    found, _ = scan_versions(documents.select(F.struct(*documents.columns).alias("row")), text="row.text")
+    whole = F.coalesce(F.col("row.text"), F.lit(""))
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    part = lambda at, size: F.col("text").substr(at.cast("int") + 1, size.cast("int"))
+    part = lambda at, size: whole.substr(at.cast("int") + 1, size.cast("int"))
 
     def cut(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
@@ -114,7 +128,7 @@ def redact(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
     def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), part(acc["at"], F.length("text")))
+        return F.concat(F.array_join(acc["out"], ""), part(acc["at"], F.length(whole)))
 
     cleaned = found.withColumn("cleaned", F.aggregate("found", begin, cut, finish))
     row = F.col("row").withField("text", F.col("cleaned"))
