@@ -1,12 +1,15 @@
 """URL filter, language identification and language-model scores."""
 
+import math
 import random
 import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers as public
 from cargolens.llm import language, lm_score, url_filter
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm import data
 
@@ -68,39 +71,130 @@ def test_op5_features_of_long_texts():
     assert (some[0] == whole[0]).all() and some[1].tolist() == whole[1].tolist() == [True, False, True]
 
 
+def small_network(rng, n=23, width=3):
+    counts = rng.integers(0, 200, n)
+    tree = lm_score.tree_of(counts)
+    weights = lm_score.start(tree, width).astype(np.float64)
+    return lm_score.Network(weights + rng.normal(0, 0.3, weights.shape), tree), counts
+
+
+def slow_log(net, ids, at, token):
+    """The log-probability of a token at a place, by walking down its path."""
+    width = net.embed.shape[1]
+    beside = [at + d for d in (-2, -1, 1, 2)]
+    h = [math.tanh(net.shift[j] + sum(net.embed[ids[p]][j] * net.places[k][j] for k, p in enumerate(beside))) for j in range(width)] + [1.0]
+    out = 0.0
+    for d in range(net.tree.depth[token]):
+        turn = net.tree.signs[d][token] * sum(a * b for a, b in zip(net.nodes[net.tree.nodes[d][token]], h, strict=True))
+        out -= math.log1p(math.exp(-turn))
+    return out
+
+
+def test_op4_tree_gives_the_counts_shares():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 50):
+        counts = rng.integers(0, 1000, n)
+        tree = lm_score.tree_of(counts)
+        net = lm_score.Network(lm_score.start(tree, 4) * np.r_[np.zeros(4), 1], tree)  # biases alone
+        ids = np.array([n, n, 0, n, n])
+        for t in range(n):
+            assert abs(math.exp(slow_log(net, ids, 2, t)) - (counts[t] + 1) / (counts + 1).sum()) < 1e-5
+
+
 def test_op4_probabilities_and_gradients():
     rng = np.random.default_rng(1)
-    net = lm_score.Network({k: rng.normal(0, 0.3, s) for k, s in lm_score.SHAPES.items()})
-    ids, row = lm_score.ids_of(["a b c d e", "", "f g"], lm_score.Words({b"a": 70, b"c": 900}))
-    at = np.flatnonzero(row >= 0)
-    assert row[at].tolist() == [0] * 5 + [2] * 2 and len(ids) == 7 + 3 * 2 * lm_score.SIDE
-    one = at[2:3]
-    total = 0.0
-    for word in range(lm_score.SIZE):
-        changed = ids.copy()
-        changed[one] = word
-        total += float(np.exp(net.step(changed, one))[0])
-    assert abs(total - 1) < 1e-6
-    # Adagrad's sums start at the squares of the gradient.
-    sums = {k: np.zeros(s) for k, s in lm_score.SHAPES.items()}
-    before = {k: v.copy() for k, v in net.w.items()}
-    base = net.step(ids, at, sums).mean()
-    for k, place in (("embed", (0, ids[at[3] - 2], 1)), ("squash", (2,)), ("to_class", (1, 3)), ("to_word", (ids[at[0]] // lm_score.PER_CLASS, 1, 2)), ("word_bias", (ids[at[0]] // lm_score.PER_CLASS, 4))):
-        moved = {n: v.copy() for n, v in before.items()}
-        moved[k][place] += 1e-5
-        slope = -(lm_score.Network(moved).step(ids, at).mean() - base) / 1e-5
-        assert abs(abs(slope) - np.sqrt(sums[k][place])) < 1e-4, k
-
-
-def test_op4_prefers_the_corpus(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    vocabulary = lm_score.vocabulary_of(docs)
-    trained = lm_score.train(docs, vocabulary)
-    mean = lambda w: np.average([r.mean_log_likelihood for r in lm_score.score(docs, vocabulary, w).where("n_tokens > 0").collect()])
-    assert mean(trained) > mean(lm_score.start()) + 1
-    odd = lm_score.score(data.documents(spark), vocabulary, trained).collect()
-    assert len(odd) == len(data.rows())
-    assert all((r.mean_log_likelihood is None) == (r.n_tokens == 0) for r in odd)
-    shuffled = docs.select("doc_id", F.array_join(F.reverse(F.split("text", " ")), " ").alias("text"))
-    assert np.isfinite([r.log_likelihood for r in lm_score.score(shuffled, vocabulary, trained).collect()]).all()
-    assert lm_score.vocabulary_of(data.empty(spark)) == {} and lm_score.score(data.empty(spark), {}, lm_score.start()).count() == 0
+    net, counts = small_network(rng)
+    n = len(counts)
+    rows = [rng.integers(0, n, k).astype("<u2").tobytes() for k in (9, 0, 1, 6)]
+    ids, row = lm_score.joined(rows, n)
+    places = np.flatnonzero(row >= 0)
+    assert np.bincount(row[places], minlength=4).tolist() == [9, 0, 1, 6] and (ids[row < 0] == n).all()
+    logs = net.step(ids, places)
+    assert np.allclose(logs, [slow_log(net, ids, p, ids[p]) for p in places], atol=1e-5)
+    for p in places[:4]:  # the probabilities of all tokens add up to 1
+        total = 0.0
+        for t in range(n):
+            other = ids.copy()
+            other[p] = t
+            total += math.exp(net.step(other, np.array([p]))[0])
+        assert abs(total - 1) < 1e-5
+    made = []
+    net._learn = lambda *x: made.append(net.gradient(*x))
+    net.step(ids, places, learn=True)
+    some = [(i, j) for i in range(len(net.weights)) for j in range(net.weights.shape[1]) if (i, j) and made[0][i, j]]
+    for i, j in rng.permutation(some)[:60].tolist() + [[len(net.weights) - 1, 0], [len(net.weights) - 3, 1]]:
+        was, e = net.weights[i, j], 1e-3
+        net.weights[i, j] = was + e
+        up = net.step(ids, places).mean()
+        net.weights[i, j] = was - e
+        down = net.step(ids, places).mean()
+        net.weights[i, j] = was
+        assert abs((up - down) / (2 * e) - made[0][i, j]) < 1e-3
+
+
+def test_op4_scores_documents(spark):
+    path, ranks = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken")
+    docs = data.documents(spark, 40).withColumn("ids", F.lit("clash")).withColumn("part", F.lit(1)).withColumn("row", F.lit("clash"))
+    rows = data.rows(40)
+    rounds = lm_score.rounds_of(0)
+    ids = lm_score.encoded(docs, path, ranks, rounds)
+    lib = Tokenizer.from_file(path)
+    tokens_ = [lib.encode(r[1] or "", add_special_tokens=False).ids for r in rows]
+    counts = lm_score.counts_of(ids, lib.get_vocab_size())
+    assert counts.tolist() == np.bincount([t for r in tokens_ for t in r], minlength=lib.get_vocab_size()).tolist()
+    tree = lm_score.tree_of(counts)
+    before = lm_score.start(tree)
+    weights = lm_score.train(ids, tree, rounds)
+    net = lm_score.Network(weights, tree)
+    edge = [lib.get_vocab_size()] * 2
+
+    def slow(t):
+        row = [*edge, *t, *edge]
+        return sum(slow_log(net, row, i + 2, x) for i, x in enumerate(t))
+
+    found = lm_score.score(ids, tree, weights)
+    assert found.columns == [c for c in docs.columns if c != "text"] + ["n_tokens", "log_likelihood", "mean_log_likelihood"]
+    got = found.collect()
+    near = lambda x: round(x, 1)  # noqa: E731  sums of single-precision turns
+    assert data.bag((r.doc_id, r.n_tokens) for r in got) == data.bag((r[0], len(t)) for r, t in zip(rows, tokens_, strict=True))
+    short = {(r[0], len(t)): slow(t) for r, t in zip(rows, tokens_, strict=True) if len(t) < 400}
+    assert len(short) > 20
+    for r in got:
+        if (r.doc_id, r.n_tokens) in short:
+            assert abs(r.log_likelihood - short[r.doc_id, r.n_tokens]) < 1e-3 * (1 + r.n_tokens), near(r.log_likelihood)
+        assert r.mean_log_likelihood is None if r.n_tokens == 0 else abs(r.mean_log_likelihood - r.log_likelihood / r.n_tokens) < 1e-9
+    first = lm_score.score(ids, tree, before).agg(F.sum("log_likelihood")).first()[0]
+    assert sum(r.log_likelihood for r in got) > first + 1000  # training helps
+    assert lm_score.rounds_of(1 << 40) > lm_score.rounds_of(1 << 30) > rounds
+    assert lm_score.scored(data.empty(spark)).count() == 0
+
+
+def slow_kernel_model(texts, names):
+    """Scores by dictionaries of n-grams and one ridge system, without the Nyström map's shortcuts."""
+    grams = []
+    for t in texts:
+        clean = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        grams.append({clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)})
+    k = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    return k
+
+
+def test_op5_kernel_and_ridge_by_brute_force():
+    """With all texts as landmarks the Nyström map gives the exact kernel, and the fit is kernel ridge regression."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcde ", k=40)) if i % 2 else "".join(rng.choices("defgh ", k=40)) for i in range(40)]
+    names = np.array(["x" if i % 2 else "y" for i in range(40)])
+    k = slow_kernel_model(texts, names)
+    x, good = language.presence(texts)
+    own = language.kernel(x, language.unit(x).T)
+    assert good.all() and np.abs(own - k).mean() < 0.02 and np.corrcoef(own.ravel(), k.ravel())[0, 1] > 0.99  # features are hashed to 2^12 places
+    model = language.fit(x, names)
+    # Centred kernel ridge regression in its dual form; both languages have equal shares.
+    n = len(texts)
+    centre = np.eye(n) - 1 / n
+    y = np.where(names[:, None] == np.array(["x", "y"])[None, :], 1.0, -1.0)
+    exact = own.astype(np.float64)
+    kc = centre @ exact @ centre
+    alpha = np.linalg.solve(kc + language.RIDGE * np.eye(n), y - y.mean(0))
+    want = kc @ alpha + y.mean(0)
+    assert np.abs(model.scores(x) - want).max() < 1e-2
