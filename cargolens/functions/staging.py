@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (local sessions; on a cluster that is an error)."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='cargolens-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -29,6 +29,6 @@ def totals_hold(parts: DataFrame, wholes: DataFrame, keys: list[str], size: str,
 
 def single_best(rows: DataFrame, keys: list[str], score: str, value: str) -> DataFrame:
     """The value of the greatest score, null where several values have it."""
-    top = rows.groupBy(*keys).agg(F.max(F.struct(score, value)).alias("_z"), F.max(F.struct(F.col(score), F.struct(value).alias("v"))).alias("_y"))
-    best = rows.join(top.select(*keys, F.col(f"_z.{score}").alias("_best")), keys).where(F.col(score) == F.col("_best"))
-    return best.groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).select(*keys, F.when(F.col("_n") == 1, F.col(value)).alias(value))
+    each = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.min(value).alias("_a"), F.max(value).alias("_z"))
+    best = each.groupBy(*keys).agg(F.max_by(F.struct("_a", "_z"), score).alias("_b"))
+    return best.select(*keys, F.when(F.col("_b._a") == F.col("_b._z"), F.col("_b._a")).alias(value))

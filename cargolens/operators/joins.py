@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cargolens.functions.staging import table
+
 #: Rows of bounds up to which every task gets them all.
 FEW_BOUNDS = 10_000
 
@@ -29,27 +31,38 @@ def exactly_one(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lower_bounds(bounds: DataFrame, last: str, order: str, keys: list[str]) -> DataFrame:
-    """Adds lower: the last value of the row before, 0 for the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return bounds.withColumn("lower", F.lag(last, 1, 0).over(w))
+    """Adds lower: the last value of the row before, 0 for the first.
+
+    Without keys the rows are dealt by ranges of their order, and each range takes the last value of the ranges before it."""
+    if keys:
+        return bounds.withColumn("lower", F.lag(last, 1, 0).over(Window.partitionBy(*keys).orderBy(order)))
+    dealt = table(bounds.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "bounds")
+    ends = dealt.groupBy("_range").agg(F.max_by(last, order).alias("_end"))
+    # One row for each range.
+    before = ends.select("_range", F.coalesce(F.lag("_end").over(Window.orderBy("_range")), F.lit(0)).alias("_before"))
+    own = F.lag(last).over(Window.partitionBy("_range").orderBy(order))
+    return dealt.join(before, "_range").withColumn("lower", F.coalesce(own, "_before")).drop("_range", "_before")
 
 
 def range_join(items: DataFrame, bounds: DataFrame, value: str, last: str, order: str, keys: list[str] = (), how: str = "inner") -> DataFrame:
-    """Items with the row of bounds whose half-open interval (row before's last, last] holds their value.
+    """Items with the row of bounds whose half-open interval (row before's last, last] holds their value; how: inner or left.
 
     Few bounds go to every task. More meet their items in cells as wide as an average interval: an item is in one cell, an
     interval in all cells that it meets."""
-    ranges = lower_bounds(bounds, last, order, list(keys))
     within = (F.col(value) > F.col("lower")) & (F.col(value) <= F.col(last))
     same = [F.col(f"i.{k}") == F.col(f"b.{k}") for k in keys]
-    if keys or bounds.count() <= FEW_BOUNDS:
+    few = not keys and bounds.count() <= FEW_BOUNDS
+    ranges = bounds.withColumn("lower", F.lag(last, 1, 0).over(Window.orderBy(order))) if few else lower_bounds(bounds, last, order, list(keys))
+    kept = [f"b.{c}" for c in ranges.columns if c not in keys]
+    if keys or few:
         side = ranges if keys else F.broadcast(ranges)
-        out = items.alias("i").join(side.alias("b"), [*same, within] if same else within, how)
-        return out.select("i.*", *(f"b.{c}" for c in ranges.columns if c not in keys))
+        return items.alias("i").join(side.alias("b"), [*same, within] if same else within, how).select("i.*", *kept)
     width = ranges.agg((F.max(last) - F.min("lower")) / F.count(F.lit(1))).first()[0] or 1
     cell = lambda c: F.floor(F.col(c) / F.lit(width))
     celled = ranges.where(F.col(last) > F.col("lower")).withColumn("_cell", F.explode(F.sequence(cell("lower"), cell(last))))
-    return items.withColumn("_cell", cell(value)).join(celled, "_cell", how).where(within).drop("_cell")
+    # The interval is part of the join's condition, so that a left join keeps items that only share a cell with one.
+    met = items.withColumn("_own", cell(value)).alias("i").join(celled.alias("b"), [F.col("_own") == F.col("_cell"), within], how)
+    return met.select(*(f"i.{c}" for c in items.columns), *kept)
 
 
 def disjunctive_match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -91,6 +104,28 @@ def permutations(entries: DataFrame, keys: list[str], index: str, first: int = 0
     return entries.groupBy(*keys).agg(n.cast("long").alias("n"), whole.alias("permutation"))
 
 
+def by_index(entries: DataFrame, parts: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Entries with the part that their index points to; an index without a part drops out."""
+    return entries.join(parts, [*keys, index])
+
+
+def by_permutation(entries: DataFrame, manifest: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Entries with the manifest's row of their index; a scope whose indexes are no permutation of the manifest's loses all its rows."""
+    sizes = manifest.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    whole = permutations(entries, keys, index).join(sizes, keys).where(F.col("permutation") & (F.col("n") == F.col("_size"))).select(*keys)
+    return entries.join(whole, keys, "left_semi").join(manifest, [*keys, index])
+
+
+def first_source(wanted: DataFrame, sources: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """wanted with value and source: of the first source that has the key. Sources have one row for a key."""
+    out = wanted
+    for name, rows in sources.items():
+        own = rows.select(F.col(key).alias(f"_key_{name}"), F.struct(F.lit(name).alias("source"), F.col(value).alias(value)).alias(f"_{name}"))
+        out = out.join(own, F.col(key) == F.col(f"_key_{name}"), "left").drop(f"_key_{name}")
+    found = F.coalesce(*(F.col(f"_{name}") for name in sources))
+    return out.withColumn("_found", found).select(*wanted.columns, "_found.source", f"_found.{value}")
+
+
 def dictionary_decode(cells: DataFrame, pool: DataFrame, reference: str, keys: list[str], out: str) -> DataFrame:
     """String references to a pool (keys, string_id, value); 0 is the empty string, a dangling reference null."""
     p = pool.select(*keys, F.col("string_id").alias(reference), F.col("value").alias("_value"))

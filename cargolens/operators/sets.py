@@ -40,6 +40,28 @@ def suffix_collisions(rows: DataFrame, keys: list[str], name: str, order: list[s
     return numbered.join(taken, [*keys, "_key"], "left").withColumn(out, out_name).drop("_nth", "_key", "_taken")
 
 
+def ordinal_names(rows: DataFrame, keys: list[str], name: str, index: str, out: str) -> DataFrame:
+    """The first row of a name keeps it, by case-insensitive comparison; another gets file_NNNN from its index (unique in its scope), or the
+    first of file_NNNN_1, file_NNNN_2, ... that no row declares."""
+    lower = F.lower(name)
+    nth = F.row_number().over(Window.partitionBy(*keys, lower).orderBy(index))
+    base = F.format_string("file_%04d", index)
+    form = "^(file_[0-9]{4,})(?:_([1-9][0-9]{0,8}))?$"
+    declared = rows.select(*keys, lower.alias("_name")).where(F.col("_name").rlike(form)).distinct()
+    blocked = declared.select(*keys, F.regexp_extract("_name", form, 1).alias("_base"), F.coalesce(F.nullif(F.regexp_extract("_name", form, 2), F.lit("")).cast("long"), F.lit(0)).alias("_k"))
+    taken = blocked.groupBy(*keys, "_base").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda at, k: F.when(k == at, at + 1).otherwise(at))
+    other = F.when(free == 0, F.col("_base")).otherwise(F.concat_ws("_", "_base", free))
+    numbered = rows.withColumns({"_nth": nth, "_base": base})
+    return numbered.join(taken, [*keys, "_base"], "left").withColumn(out, F.when(F.col("_nth") == 1, F.col(name)).otherwise(other)).drop("_nth", "_base", "_taken")
+
+
+def without_duplicates(rows: DataFrame, keys: list[str], key: Column) -> DataFrame:
+    """Rows of the scopes in which no key occurs twice; the others lose all their rows."""
+    twice = rows.groupBy(*keys, key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys).distinct()
+    return rows.join(twice, keys, "left_anti")
+
+
 def ordered_union(*parts: DataFrame) -> DataFrame:
     """All rows, with source_order: the place of their part."""
     out = None

@@ -4,12 +4,13 @@ The tables hold no containers: a query has an operator's shape, not a container'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions import binary, names
 from cargolens.operators import aggregates, joins, sets, trees, windows
 from cargolens.plans.base import query, t
+from cargolens.sources import files
 
 @query("""SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 UNION ALL SELECT o_orderkey, 'order' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
@@ -48,12 +49,13 @@ def exactly_one_match(spark, d):
     return joins.exactly_one(t(spark, d, "orders").where("o_orderstatus = 'F'"), ["o_custkey"])
 
 
-@query("""WITH w AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part WHERE p_partkey <= 20)
-SELECT DISTINCT p_partkey, brand, type FROM part JOIN w ON p_brand = brand OR p_type = type""")
+@query("""WITH w AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part)
+SELECT p_partkey, CAST(count(*) AS BIGINT) AS n, min(brand || ' ' || type) AS least FROM (SELECT DISTINCT p_partkey, brand, type FROM part JOIN w ON p_brand = brand OR p_type = type) GROUP BY p_partkey""")
 def disjunctive_match(spark, d):
     part = t(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    wanted = part.where("p_partkey <= 20").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type")).distinct()
-    return joins.disjunctive_match(part, wanted, [("p_brand", "brand"), ("p_type", "type")]).select("p_partkey", "brand", "type").distinct()
+    wanted = part.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type")).distinct()
+    met = joins.disjunctive_match(part, wanted, [("p_brand", "brand"), ("p_type", "type")])
+    return met.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(" ", "brand", "type")).alias("least"))
 
 
 @query("""SELECT CAST(count_if(a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS matched, CAST(count_if(b IS NULL) AS BIGINT) AS only_left, CAST(count_if(a IS NULL) AS BIGINT) AS only_right
@@ -79,9 +81,38 @@ def fifo_size_match(spark, d):
     return joins.ordinal_match(blobs, listed, ["k"], ["o_orderkey"], ["event_id"])
 
 
-@query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS permutation FROM conversations GROUP BY conv_id""")
+@query("""WITH e AS (SELECT s_nationkey AS scope, s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN 0 ELSE row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) - 1 END AS i FROM supplier),
+m AS (SELECT s_nationkey AS scope, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier),
+good AS (SELECT scope FROM e GROUP BY scope HAVING min(i) = 0 AND max(i) = count(*) - 1 AND count(DISTINCT i) = count(*))
+SELECT s_suppkey, CAST(e.i AS BIGINT) AS i, name FROM e JOIN m ON e.scope = m.scope AND e.i = m.i WHERE e.scope IN (SELECT scope FROM good)""")
 def permutation_index_join(spark, d):
-    return joins.permutations(t(spark, d, "conversations"), ["conv_id"], "turn")
+    supplier = t(spark, d, "supplier").withColumn("scope", F.col("s_nationkey"))
+    place = lambda *order: (F.row_number().over(Window.partitionBy("scope").orderBy(*order)) - 1).cast("long")
+    entries = supplier.withColumn("i", F.when(F.col("scope") % 4 == 0, F.lit(0).cast("long")).otherwise(place("s_acctbal", "s_suppkey"))).select("scope", "s_suppkey", "i")
+    manifest = supplier.withColumn("i", place("s_suppkey")).select("scope", "i", F.col("s_name").alias("name"))
+    return joins.by_permutation(entries, manifest, ["scope"], "i").select("s_suppkey", "i", "name")
+
+
+@query("""SELECT o_orderkey, n_name FROM orders JOIN nation ON n_nationkey = o_orderkey % 30""")
+def entry_by_location(spark, d):
+    entries = t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 30).alias("location"))
+    return joins.by_index(entries, t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("location"), "n_name"), [], "location").select("o_orderkey", "n_name")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'embedded' WHEN b.item_id IS NOT NULL THEN 'external' END AS source, coalesce(l.v, b.v) AS v
+FROM documents d LEFT JOIN (SELECT doc_id, 'quality ' || quality AS v FROM labels) l ON l.doc_id = d.doc_id LEFT JOIN (SELECT item_id, md5(text) AS v FROM benchmark) b ON b.item_id = d.doc_id""")
+def first_available_source(spark, d):
+    embedded = t(spark, d, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("v"))
+    external = t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.md5("text").alias("v"))
+    return joins.first_source(t(spark, d, "documents").select("doc_id"), {"embedded": embedded, "external": external}, "doc_id", "v")
+
+
+@query("""WITH v AS (SELECT c_nationkey AS package, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM customer WHERE regexp_matches(c_name, '^Customer#[0-9]+$') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)),
+r AS (SELECT package, n, row_number() OVER (PARTITION BY package ORDER BY n) AS volume FROM v)
+SELECT CAST(package AS BIGINT) AS package, CAST(count(*) AS BIGINT) AS volumes, min(n) AS first, bool_and(n = volume) AS contiguous FROM r GROUP BY package""")
+def volume_discovery(spark, d):
+    numbered = files.discovered_volumes(t(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("package")), t(spark, d, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").cast("long").alias("package")), r"^Customer#([0-9]+)$")
+    return numbered.groupBy("package").agg(F.count(F.lit(1)).alias("volumes"), F.min("volume").alias("first"), F.bool_and("in_order").alias("contiguous"))
 
 
 EDGES = """SELECT 'r' || r_regionkey AS key, NULL AS parent, trim(r_name) AS name FROM region
@@ -189,12 +220,31 @@ def collision_rename(spark, d):
     return sets.rename_collisions(t(spark, d, "part").select("p_partkey", "p_type"), [], "p_type", ["p_partkey"], renamed, "unique_name").drop("p_type")
 
 
-@query("""SELECT s_suppkey, CASE WHEN rn = 1 THEN name ELSE 'file_' || s_nationkey || '.copy-' || rn || '.bin' END AS unique_name FROM (SELECT s_suppkey, s_nationkey, 'file_' || s_nationkey || '.bin' AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier)""")
+@query("""WITH r AS (SELECT s_suppkey, s_nationkey, s_suppkey % 5 = 0 AS copy, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 5 = 0 ORDER BY s_suppkey) AS rn, bool_or(s_suppkey % 5 = 0) OVER (PARTITION BY s_nationkey) AS taken FROM supplier)
+SELECT s_suppkey, 'file_' || s_nationkey || CASE WHEN copy THEN '.copy-2' ELSE '' END || CASE WHEN rn = 1 THEN '' WHEN copy OR NOT taken THEN '.copy-' || rn ELSE '.copy-' || (rn + 1) END || '.bin' AS unique_name FROM r""")
 def collision_suffix(spark, d):
-    rows = t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("file_"), F.col("s_nationkey").cast("string"), F.lit(".bin")).alias("name"))
+    copy = F.when(F.col("s_suppkey") % 5 == 0, ".copy-2").otherwise("")
+    rows = t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("file_"), F.col("s_nationkey").cast("string"), copy, F.lit(".bin")).alias("name"))
     return sets.suffix_collisions(rows, [], "name", ["s_suppkey"], ".copy-", "unique_name").drop("name")
 
 
+_ORDINAL = """SELECT s_suppkey AS i, CASE s_suppkey % 7 WHEN 0 THEN printf('file_%04d', s_suppkey + 1) WHEN 3 THEN printf('FILE_%04d_1', s_suppkey - 2) ELSE 'item_' || s_nationkey END AS name FROM supplier"""
+
+
+@query(f"""WITH s AS ({_ORDINAL}), r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY i) AS rn FROM s),
+c AS (SELECT i, min(k) AS k FROM (SELECT i, k, printf('file_%04d', i) || CASE WHEN k = 0 THEN '' ELSE '_' || k END AS name FROM s, range(4) x(k)) WHERE name NOT IN (SELECT lower(name) FROM s) GROUP BY i)
+SELECT i, CASE WHEN rn = 1 THEN name ELSE printf('file_%04d', i) || CASE WHEN k = 0 THEN '' ELSE '_' || k END END AS unique_name FROM r JOIN c USING (i)""")
+def collision_ordinal(spark, d):
+    i = F.col("s_suppkey")
+    name = F.when(i % 7 == 0, F.format_string("file_%04d", i + 1)).when(i % 7 == 3, F.format_string("FILE_%04d_1", i - 2)).otherwise(F.concat(F.lit("item_"), F.col("s_nationkey").cast("string")))
+    return sets.ordinal_names(t(spark, d, "supplier").select(i.alias("i"), name.alias("name")), [], "name", "i", "unique_name").select("i", "unique_name")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey, lower(o_orderpriority) HAVING count(*) > 1)""")
+def duplicate_rejects_scope(spark, d):
+    return sets.without_duplicates(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], F.lower("o_orderpriority")).select("o_custkey", "o_orderkey")
+
+
 @query("SELECT c_custkey AS id, c_name AS name, CAST(0 AS BIGINT) AS source_order FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier")
 def ordered_union(spark, d):
     customers = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
@@ -202,14 +252,17 @@ def ordered_union(spark, d):
     return sets.ordered_union(customers, suppliers)
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def subset_except(spark, d):
-    return sets.not_subset(t(spark, d, "customer"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return sets.not_subset(t(spark, d, "documents"), t(spark, d, "labels").select("doc_id"), "doc_id")
 
 
-@query("""SELECT NOT EXISTS (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region) AND NOT EXISTS (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation) AS same""")
+@query("""SELECT 'regions' AS what, NOT EXISTS (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region) AND NOT EXISTS (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation) AS same
+UNION ALL SELECT 'documents', NOT EXISTS (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) AND NOT EXISTS (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""")
 def set_equality(spark, d):
-    return sets.same_set(t(spark, d, "nation").select("n_regionkey"), t(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey")
+    regions = sets.same_set(t(spark, d, "nation").select("n_regionkey"), t(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey")
+    documents = sets.same_set(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels").select("doc_id"), "doc_id")
+    return regions.select(F.lit("regions").alias("what"), "same").unionByName(documents.select(F.lit("documents").alias("what"), "same"))
 
 
 @query("SELECT lower(p_type) AS name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1 HAVING count(*) > 1")

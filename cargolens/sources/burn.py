@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions import names
-from cargolens.functions.binary import decimal_text, sha1_text
+from cargolens.functions.binary import decimal_text, inside, sha1_text
 from cargolens.operators import joins, sets
 
 _REF = "array<struct<_Id:string>>"
@@ -39,6 +39,18 @@ def payloads(documents: DataFrame) -> DataFrame:
     return sets.suffix_collisions(listed, ["path"], "file_path", ["source_order", "ordinal"], ".burn-", "public_path")
 
 
+def described(listed: DataFrame, containers: DataFrame) -> DataFrame:
+    """Payload records with their place in the outer file and an info text, from payloads with (stream_offset, stream_size) in their
+    container and containers (path, container, outer_offset, outer_size). A stream that leaves its container has a null place."""
+    at = listed.join(containers, ["path", "container"], "left")
+    start = F.when(inside("stream_offset", "stream_size", "outer_size"), F.expr("try_add(stream_offset, outer_offset)"))
+    kind = F.when(F.col("container_type") == "ux", "WiX Burn UX payload").otherwise("WiX Burn attached payload")
+    package = F.concat(F.lit("WiX Burn "), F.col("package_type"), F.lit(" package"), F.coalesce(F.concat(F.lit(" ("), F.nullif("package_id", F.lit("")), F.lit(")")), F.lit("")))
+    moved = F.when(~F.col("public_path").eqNullSafe(F.col("file_path")), F.concat(F.lit("; manifest path: "), F.coalesce("file_path", F.lit("")))).otherwise("")
+    info = F.concat(F.when(F.coalesce("package_type", F.lit("")) != "", package).otherwise(kind), moved)
+    return at.withColumns({"stream_offset": start, "info": info}).drop("outer_offset", "outer_size")
+
+
 def references(documents: DataFrame) -> DataFrame:
     """(path, package_type, place, package_id, ref, payload_id): every reference of a package to a payload."""
     out = None

@@ -13,6 +13,11 @@ INNO = [b"Inno Setup Setup Data", b"Inno Setup: Setup Data"]
 AUTOIT = {b"AU3!EA05": "EA05", b"AU3!EA06": "EA06 (unsupported)"}
 ARCHIVES = {"7z": b"7z\xbc\xaf\x27\x1c", "rar": b"Rar!", "rar14": b"RE~^", "cab": b"MSCF"}
 COMPOUND = bytes.fromhex("d0cf11e0a1b11ae1")
+#: What the root entry's class says, by its first byte; the bytes after it.
+CLASSES = {0x84: "database", 0x86: "patch", 0x82: "transform"}
+CLASS_TAIL = bytes.fromhex("100c0000000000c000000000000046")
+#: Strings of a self-extractor's own stub, that tell who made it.
+STUBS = {"rar": [b'name="WinRAR', b"sfxrar", b"sfxcon"], "cab": [b"wextract", b"IExpress extraction tool"]}
 #: The longest stretch after a signature that is searched for a version.
 WINDOW = 128
 
@@ -60,6 +65,21 @@ def overlay(found: Column) -> Column:
     return F.array_max(F.transform(found, lambda s: s["raw_offset"] + s["raw_size"]))
 
 
+def attributed(content: Column, end: Column, marks: list[bytes]) -> Column:
+    """Whether a mark lies in the file's own stub, before its overlay: an appended archive may hold any string."""
+    stub = F.substring(content, F.lit(1), end.cast("int"))
+    return F.coalesce(*(find(stub, m) for m in marks)).isNotNull()
+
+
+def root_class(content: Column) -> Column:
+    """What a compound file holds, by the class of its root directory entry; null for others."""
+    sector = F.call_function("shiftleft", F.lit(1), little(content, 30, 2).cast("int"))
+    root = (little(content, 48, 4) + 1) * sector
+    kind = little(content, root + 0x50, 1)
+    known = has_at(content, 0, COMPOUND) & little(content, 30, 2).between(7, 16) & (take(content, root + 0x51, 15) == F.lit(bytearray(CLASS_TAIL)))
+    return F.when(known, F.element_at(F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair)), kind.cast("int")))
+
+
 def _row(format_: str, valid: Column, offset: Column, version: Column | None = None) -> Column:
     version = F.lit(None).cast("string") if version is None else version
     return F.struct(F.lit(format_).alias("format"), F.coalesce(valid, F.lit(False)).alias("is_valid"), offset.cast("long").alias("offset"), F.nullif(version, F.lit("")).alias("version"))
@@ -92,8 +112,8 @@ def detections(found: DataFrame) -> DataFrame:
         _row("boxedapp", boxed.isNotNull() & main.isNotNull() & ((boxed["raw_offset"] + boxed["raw_size"] <= main["raw_offset"]) | (main["raw_offset"] + main["raw_size"] <= boxed["raw_offset"])), boxed["raw_offset"]),
         _row("upx", upx.isNotNull() & (portable(c) | has_at(c, 0, b"\x7fELF")), upx),
         _row("advanced", portable(c) & footer.isNotNull(), footer),
-        _row("compound", has_at(c, 0, COMPOUND), F.lit(0)),
-        *(_row(f"sfx-{k}", F.size(s) > 0, after(m)) for k, m in ARCHIVES.items()),
+        _row("compound", has_at(c, 0, COMPOUND), F.lit(0), root_class(c)),
+        *(_row(f"sfx-{k}", F.size(s) > 0, after(m), F.when(attributed(c, end, STUBS[k]), F.lit("attributed")) if k in STUBS else None) for k, m in ARCHIVES.items()),
     ]
     listed = found.select("path", "content").withColumn("sections", sections(F.col("content"))).select("path", F.explode(F.array(*rows)).alias("d"))
     return listed.select("path", "d.*").where("is_valid and offset is not null")

@@ -40,6 +40,14 @@ def volume_names(packages: DataFrame) -> DataFrame:
     return packages.withColumn("volume", F.explode(F.sequence(F.lit(1), F.col("volumes")))).withColumn("volume_name", names.volume_name("pattern", "volume"))
 
 
+def discovered_volumes(found: DataFrame, packages: DataFrame, pattern: str) -> DataFrame:
+    """(package, name, volume, in_order): files (name, package) whose name has the pattern, its group the volume's number, and whose own
+    identifier is a package's. in_order: the volumes of the package are numbered 1 to this one."""
+    own = found.where(F.col("name").rlike(pattern)).join(packages.select("package"), "package", "left_semi").withColumn("volume", F.regexp_extract("name", pattern, 1).try_cast("long"))
+    nth = F.row_number().over(Window.partitionBy("package").orderBy("volume"))
+    return own.select("package", "name", "volume", (nth == F.col("volume")).alias("in_order"))
+
+
 def joined_volumes(volumes: DataFrame, keys: list[str], header: int) -> DataFrame:
     """volumes (keys, volume, package_id, data) put together: headers stripped, in order, complete and of one package.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.functions.arrays import fold_rows, let
 from cargolens.functions.binary import find, little, take
 
 SIGNATURE = b"Inno Setup Setup Data (5.5.0)\0"
@@ -48,26 +49,30 @@ def records(found: DataFrame) -> DataFrame:
     table = F.col("at") + F.coalesce(F.col("nul") + 1, F.lit(FARTHEST))
     there = found.select("path", "content", at.alias("at")).where("at is not null").withColumn("nul", nul).withColumn("t", table)
     there = there.where(take(c, F.col("t"), 4) == F.lit(bytearray(MARK)))
-    most = F.floor((F.length(c) - F.col("t")) / FIXED)
-    n = F.least(little(c, F.col("t") + 4, 4), most).cast("int")
-
-    def read(acc: Column, i: Column) -> Column:
-        p = acc["at"]
-        size = little(c, p, 2)
-        body = p + 2 + size
-        whole = acc["good"] & (body + 20 <= F.length(c))
-        entry = F.struct(
-            F.make_valid_utf8(take(c, p + 2, size.cast("int")).cast("string")).alias("original_name"),
-            little(c, body, 8).alias("stream_offset"),
-            little(c, body + 8, 8).alias("stream_size"),
-            little(c, body + 16, 4).alias("result_crc"),
-        )
-        kept = F.when(whole, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"])
-        return F.struct(F.when(whole, body + 20).otherwise(p).alias("at"), F.coalesce(whole, F.lit(False)).alias("good"), kept.alias("out"))
-
+    # The bytes from the table on are bound once for each file.
+    own_bytes = F.substring("content", (F.col("t") + 17).cast("int"), F.length("content"))
+    declared = little(take(c, F.col("t") + 4, 4), 0, 4)
     none = F.array().cast("array<struct<original_name:string,stream_offset:bigint,stream_size:bigint,result_crc:bigint>>")
-    begin = F.struct((F.col("t") + 16).cast("bigint").alias("at"), F.lit(True).alias("good"), none.alias("out"))
-    listed = there.withColumn("entries", F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), begin, read, lambda a: a["out"])).otherwise(none))
+
+    def entries(own: Column) -> Column:
+        def read(state: Column, _: Column) -> Column:
+            p = state["at"]
+            body = p + 2 + little(own, p, 2)
+            whole = state["good"] & F.coalesce(body + 20 <= F.length(own), F.lit(False))
+            entry = lambda b: F.struct(
+                F.make_valid_utf8(take(own, p + 2, (b - p - 2).cast("int")).cast("string")).alias("original_name"),
+                little(own, b, 8).alias("stream_offset"),
+                little(own, b + 8, 8).alias("stream_size"),
+                little(own, b + 16, 4).alias("result_crc"),
+            )
+            after = F.struct(F.when(whole, body + 20).otherwise(p).alias("at"), whole.alias("good"))
+            return F.struct(after.alias("state"), F.when(whole, F.array(let(body, entry))).otherwise(none).alias("rows"))
+
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(True).alias("good"))
+        most = F.least(declared, F.floor(F.length(own) / FIXED)).cast("int")
+        return let(most, lambda n: F.when(n > 0, fold_rows(n, begin, read, none)["rows"]).otherwise(none))
+
+    listed = there.withColumn("entries", let(own_bytes, entries))
     each = listed.select("path", F.posexplode("entries").alias("record_index", "e"))
     return each.select(
         "path", F.lit("inno").alias("format"), "record_index", "e.original_name", "e.stream_offset", "e.stream_size",
@@ -76,9 +81,18 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def payloads(found: DataFrame, listed: DataFrame) -> DataFrame:
-    """listed with data, crc_ok and size_ok."""
-    joined = listed.join(found.select("path", "content"), "path")
-    # A range beyond the file is cut at its end.
-    start = F.least(F.col("stream_offset"), F.length("content"))
-    data = take(F.col("content"), start.cast("int"), F.least(F.col("stream_size"), F.length("content")).cast("int"))
-    return joined.withColumn("data", data).drop("content").withColumns({"crc_ok": F.coalesce(F.crc32("data") == F.col("result_crc"), F.lit(False)), "size_ok": F.coalesce(F.length("data") == F.col("uncompressed_size"), F.lit(False))})
+    """listed with data, crc_ok and size_ok.
+
+    A file's entries are cut together, so that its bytes are taken out of their row once; they are no more than its table holds."""
+    rest = [c for c in listed.columns if c != "path"]
+    wanted = listed.groupBy("path").agg(F.collect_list(F.struct(*rest)).alias("entries"))
+
+    def cut(content: Column) -> Column:
+        # A range beyond the file is cut at its end.
+        size = F.length(content)
+        piece = lambda e: take(content, F.least(e["stream_offset"], size).cast("int"), F.least(e["stream_size"], size).cast("int"))
+        return F.transform("entries", lambda e: F.struct(e.alias("entry"), piece(e).alias("data")))
+
+    each = wanted.join(found.select("path", "content"), "path").select("path", F.explode(let(F.col("content"), cut)).alias("e"))
+    joined = each.select("path", "e.entry.*", "e.data")
+    return joined.withColumns({"crc_ok": F.coalesce(F.crc32("data") == F.col("result_crc"), F.lit(False)), "size_ok": F.coalesce(F.length("data") == F.col("uncompressed_size"), F.lit(False))})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions import names
+from cargolens.functions.arrays import let, running_sums
 from cargolens.functions.binary import all_flags, any_flag, ascii_text, little, signed_cell, take, utf8, utf16
 from cargolens.functions.staging import table
 from cargolens.operators import joins, sets, trees
@@ -45,24 +46,28 @@ def string_pool(streams: DataFrame) -> DataFrame:
     width = F.when(any_flag(little("pool", 2, 2), 0x8000), 3).otherwise(2)
     page = little("pool", 0, 2) + F.floor(little("pool", 2, 2) % 0x8000) * 65536
     n = F.floor((F.length("pool") - 4) / 4).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(little("pool", 4 + 4 * i, 2).alias("size"), little("pool", 6 + 4 * i, 2).alias("refs")))
-    entries = both.where(n > 0).select("path", width.alias("width"), page.alias("page"), F.posexplode(pairs).alias("i", "e")).select("path", "width", "page", "i", "e.*")
-    w = Window.partitionBy("path").orderBy("i")
-    high = (F.col("size") == 0) & (F.col("refs") != 0)
-    marked = entries.withColumn("_high", high).withColumns({"_was": F.coalesce(F.lag("_high").over(w), F.lit(False)), "_refs": F.lag("refs").over(w)})
-    # Of two such entries in a row the second holds the low half.
-    whole = marked.where(~F.col("_high") | F.col("_was")).withColumn("size", F.col("size") + F.when(F.col("_was"), F.col("_refs") * 65536).otherwise(0))
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = whole.select("path", "width", "page", "size", F.row_number().over(w).alias("string_id"), before.alias("at"))
-    raw = take(F.col("text"), F.col("at").cast("int"), F.col("size").cast("int"))
+    heads = let(F.col("pool"), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 4) / 4).cast("int") - 1), lambda i: F.struct(little(p, 4 + 4 * i, 2).alias("size"), little(p, 6 + 4 * i, 2).alias("refs"))))
+    high = lambda e: (e["size"] == 0) & (e["refs"] != 0)
+
+    def sized(e: Column) -> Column:
+        """Entries that take an id. Of two high halves in a row the second holds the low half."""
+        before = lambda i: F.get(e, i - 1)
+        was = lambda i: F.coalesce(high(before(i)), F.lit(False))
+        with_high = F.transform(e, lambda x, i: F.struct((x["size"] + F.when(was(i), before(i)["refs"] * 65536).otherwise(0)).alias("size"), (~high(x) | was(i)).alias("own")))
+        return F.transform(F.filter(with_high, lambda x: x["own"]), lambda x: x["size"])
+
+    # Each stream is taken out of its row once, and every string is cut from it there.
+    sizes = both.where(n > 0).select("path", width.alias("width"), page.alias("page"), "text", let(heads, sized).alias("sizes")).withColumn("ends", running_sums(F.col("sizes")))
+    cut = lambda text: F.transform("sizes", lambda size, i: take(text, (F.get("ends", i) - size).cast("int"), size.cast("int")))
+    strings = sizes.select("path", "width", "page", F.posexplode(let(F.col("text"), cut)).alias("i", "raw"))
+    raw = F.col("raw")
     text = (
         F.when(F.col("page").isin(*UTF8_PAGES), utf8(raw))
         .when(F.col("page") == 1252, F.translate(F.decode(raw, "ISO-8859-1"), *WINDOWS))
         .when(F.col("page") == 20127, ascii_text(raw))
         .when(F.col("page") == 1200, utf16(raw))
     )
-    located = numbered.join(both.select("path", "text"), "path")
-    return located.where("size > 0").select("path", F.col("string_id").cast("long").alias("string_id"), text.alias("value"), "width")
+    return strings.where(F.length("raw") > 0).select("path", (F.col("i") + 1).cast("long").alias("string_id"), text.alias("value"), "width")
 
 
 def _cells(data: Column, at: Column, width: Column) -> Column:
@@ -77,13 +82,14 @@ def catalog(streams: DataFrame, pool: DataFrame) -> DataFrame:
     bad = (F.length("data") % (2 * F.col("width") + 4) != 0) | (n > MOST_ROWS) | (n < 1)
     at = lambda start, i, size: F.col("n") * start + i * size
     w = F.col("width")
-    row = lambda i: F.struct(
-        _cells(F.col("data"), at(F.lit(0), i, w), w).alias("table_id"),
-        signed_cell(little("data", at(w, i, F.lit(2)), 2), 16).alias("number"),
-        _cells(F.col("data"), at(w + 2, i, w), w).alias("name_id"),
-        signed_cell(little("data", at(2 * w + 2, i, F.lit(2)), 2), 16).alias("type"),
+    row = lambda data, i: F.struct(
+        _cells(data, at(F.lit(0), i, w), w).alias("table_id"),
+        signed_cell(little(data, at(w, i, F.lit(2)), 2), 16).alias("number"),
+        _cells(data, at(w + 2, i, w), w).alias("name_id"),
+        signed_cell(little(data, at(2 * w + 2, i, F.lit(2)), 2), 16).alias("type"),
     )
-    rows = c.withColumns({"n": n, "bad": bad}).where("n > 0").select("path", "width", "bad", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), row)).alias("r")).select("path", "width", "bad", "r.*")
+    read = let(F.col("data"), lambda data: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: row(data, i)))
+    rows = c.withColumns({"n": n, "bad": bad}).where("n > 0").select("path", "width", "bad", F.explode(read).alias("r")).select("path", "width", "bad", "r.*")
     named = joins.dictionary_decode(rows, pool, "table_id", ["path"], "table")
     named = joins.dictionary_decode(named, pool, "name_id", ["path"], "column")
     string = any_flag("type", STRING_TYPE)
@@ -111,7 +117,7 @@ def cells(streams: DataFrame, columns: DataFrame, pool: DataFrame) -> DataFrame:
     there = columns.join(streams.select("path", F.lower("name").alias("_t"), "data"), (columns["path"] == streams["path"]) & (F.lower("table") == F.col("_t"))).drop(streams["path"])
     n = F.floor(F.length("data") / F.col("row_width")).cast("int")
     fits = (F.length("data") % F.col("row_width") == 0) & (F.col("row_width") <= WIDEST_ROW) & (n <= MOST_ROWS) & (n > 0)
-    raw = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _cells(F.col("data"), n * F.col("before") + i * F.col("width"), F.col("width")))
+    raw = let(F.col("data"), lambda data: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _cells(data, n * F.col("before") + i * F.col("width"), F.col("width"))))
     each = there.where(fits).select("path", "table", "column", "is_string", "width", F.posexplode(raw).alias("row", "raw"))
     number = F.when(~F.col("is_string"), F.when(F.col("width") == 4, signed_cell(F.col("raw"), 32)).otherwise(signed_cell(F.col("raw"), 16)))
     coded = each.withColumn("string_id", F.when(F.col("is_string"), F.col("raw")).cast("long"))
@@ -162,7 +168,7 @@ def errors(file: DataFrame, media: DataFrame, component: DataFrame, directory: D
 
 def placed(file: DataFrame, media: DataFrame, component: DataFrame, directory: DataFrame) -> DataFrame:
     """All files of all databases, with the error of their database."""
-    key = lambda c: F.lower(c)
+    key = names.folded
     scoped = lambda *c: F.concat_ws("\x00", *c)
     last = joins.lower_bounds(media, "last_sequence", "disk_id", ["path"]).select("path", "disk_id", "lower", "last_sequence", "cabinet")
     parts = names.target_and_source("default")

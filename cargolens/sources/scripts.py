@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions import names
+from cargolens.functions.arrays import fold_rows, let
 from cargolens.functions.binary import little, take, utf16
 from cargolens.operators import windows
 
@@ -17,9 +18,9 @@ COMMAND, PARAMETERS = 28, 6
 def commands(headers: DataFrame) -> DataFrame:
     """(path, script_index, opcode, p0 .. p5) from decoded headers (path, header, entries_at, n_entries)."""
     at = lambda i: F.col("entries_at") + COMMAND * i
-    one = lambda i: F.struct(little("header", at(i), 4).alias("opcode"), *(little("header", at(i) + 4 + 4 * k, 4).alias(f"p{k}") for k in range(PARAMETERS)))
+    one = lambda header, i: F.struct(little(header, at(i), 4).alias("opcode"), *(little(header, at(i) + 4 + 4 * k, 4).alias(f"p{k}") for k in range(PARAMETERS)))
     n = F.least(F.col("n_entries"), F.floor((F.length("header") - F.col("entries_at")) / COMMAND)).cast("int")
-    return headers.where(n > 0).select("path", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), one)).alias("script_index", "c")).select("path", "script_index", "c.*")
+    return headers.where(n > 0).select("path", F.posexplode(let(F.col("header"), lambda header: F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(header, i)))).alias("script_index", "c")).select("path", "script_index", "c.*")
 
 
 def script_files(script: DataFrame) -> DataFrame:
@@ -98,38 +99,41 @@ def tree_files(boxes: DataFrame) -> DataFrame:
 
     One fold over the bytes keeps a stack of children still to come. A tree that is cut, repeats a node, goes too deep or has other
     node types gives no rows. Stored files follow each other from data_at on."""
-    tree = F.col("tree")
+    limit = F.length("tree")
     top = little("tree", 0x4C, 4)
-    none = F.array().cast("array<struct<name:string,size:bigint,stored_size:bigint>>")
-    begin = F.struct(F.lit(HEADER).cast("bigint").alias("at"), F.filter(F.array(top), lambda n: n > 0).alias("left"), F.array().cast("array<bigint>").alias("seen"), F.lit(True).alias("good"), none.alias("out"))
-    limit = F.length(tree)
-
-    def read(acc: Column, _: Column) -> Column:
-        p = acc["at"]
-        id_, kind, children = (little("tree", p + 4 * k, 4) for k in range(3))
-        # Whole units before the first NUL, in hex.
-        units = F.regexp_extract(F.hex(take("tree", p + 12, 2 * (LONGEST + 1))), "^((?:(?!0000)[0-9A-F]{4})*+)0000", 1)
-        name = utf16(F.unhex(units))
-        body = p + 12 + F.floor(F.length(units) / 2) + 2
-        depth = F.size(acc["left"])
-        rest = F.concat(F.slice(acc["left"], 1, F.greatest(depth - 1, F.lit(0))), F.array(F.element_at(acc["left"], -1) - 1))
-        left = F.when((kind == 1) & (children > 0), F.concat(rest, F.array(children))).otherwise(rest)
-        end = body + F.when(kind == 1, 30).otherwise(58)
-        good = acc["good"] & ~F.array_contains(acc["seen"], id_) & (end <= limit) & name.isNotNull() & (F.when(kind == 1, children <= MOST_NODES).otherwise((kind == 2) & (children == 0))) & (F.size(left) <= DEEPEST)
-        file = F.struct(name.alias("name"), little("tree", body + 3, 8).alias("size"), little("tree", body + 50, 8).alias("stored_size"))
-        return F.struct(
-            end.cast("bigint").alias("at"),
-            F.filter(left, lambda n: n > 0).alias("left"),
-            F.concat(acc["seen"], F.array(id_)).alias("seen"),
-            F.coalesce(good, F.lit(False)).alias("good"),
-            F.when(kind == 2, F.concat(acc["out"], F.array(file))).otherwise(acc["out"]).alias("out"),
-        )
-
+    none = F.array().cast("array<struct<id:bigint,kind:bigint,name:string,size:bigint,stored_size:bigint>>")
     # No node is shorter than 44 bytes; steps past the end of the walk change nothing.
-    step = lambda acc, i: F.when(acc["good"] & (F.size(acc["left"]) > 0), read(acc, i)).otherwise(acc)
     most = F.least(F.floor((limit - HEADER) / 44) + 1, F.lit(MOST_NODES)).cast("int")
-    walked = boxes.where((limit > HEADER) & (top <= MOST_NODES)).select("path", "data_at", F.aggregate(F.sequence(F.lit(1), most), begin, step).alias("w"))
-    listed = walked.where("w.good and size(w.left) = 0").select("path", "data_at", F.posexplode("w.out").alias("record_index", "f")).select("path", "data_at", "record_index", "f.*")
+
+    def walk(tree: Column) -> Column:
+        def read(state: Column, _: Column) -> Column:
+            p = state["at"]
+            id_, kind, children = (little(tree, p + 4 * k, 4) for k in range(3))
+            # Whole units before the first NUL, in hex.
+            units = F.regexp_extract(F.hex(take(tree, p + 12, 2 * (LONGEST + 1))), "^((?:(?!0000)[0-9A-F]{4})*+)0000", 1)
+            return let(F.struct(id_.alias("id"), kind.alias("kind"), children.alias("children"), units.alias("units")), lambda x: node(state, x))
+
+        def node(state: Column, x: Column) -> Column:
+            kind, children, name = x["kind"], x["children"], utf16(F.unhex(x["units"]))
+            body = state["at"] + 12 + F.floor(F.length(x["units"]) / 2) + 2
+            depth = F.size(state["left"])
+            rest = F.concat(F.slice(state["left"], 1, F.greatest(depth - 1, F.lit(0))), F.array(F.element_at(state["left"], -1) - 1))
+            left = F.when((kind == 1) & (children > 0), F.concat(rest, F.array(children))).otherwise(rest)
+            end = body + F.when(kind == 1, 30).otherwise(58)
+            good = state["good"] & (end <= limit) & name.isNotNull() & (F.when(kind == 1, children <= MOST_NODES).otherwise((kind == 2) & (children == 0))) & (F.size(left) <= DEEPEST)
+            found = F.struct(x["id"].alias("id"), kind.alias("kind"), name.alias("name"), little(tree, body + 3, 8).alias("size"), little(tree, body + 50, 8).alias("stored_size"))
+            after = F.struct(end.cast("bigint").alias("at"), F.filter(left, lambda n: n > 0).alias("left"), F.coalesce(good, F.lit(False)).alias("good"))
+            return F.struct(after.alias("state"), F.array(found).alias("rows"))
+
+        step = lambda state, i: F.when(state["good"] & (F.size(state["left"]) > 0), read(state, i)).otherwise(F.struct(state.alias("state"), none.alias("rows")))
+        begin = F.struct(F.lit(HEADER).cast("bigint").alias("at"), F.filter(F.array(top), lambda n: n > 0).alias("left"), F.lit(True).alias("good"))
+        return fold_rows(most, begin, step, none)
+
+    walked = boxes.where((limit > HEADER) & (top <= MOST_NODES)).select("path", "data_at", let(F.col("tree"), walk).alias("w"))
+    ids = F.transform("w.rows", lambda r: r["id"])
+    whole = walked.where(F.col("w.state.good") & (F.size("w.state.left") == 0) & (F.size(F.array_distinct(ids)) == F.size(ids)))
+    files = F.filter("w.rows", lambda r: r["kind"] == 2)
+    listed = whole.select("path", "data_at", F.posexplode(files).alias("record_index", "f")).select("path", "data_at", "record_index", "f.name", "f.size", "f.stored_size")
     placed = windows.prefix_offset(listed, ["path"], ["record_index"], F.col("stored_size"), "_before")
     return placed.select("path", "record_index", "name", "size", "stored_size", (F.col("data_at") + F.col("_before")).alias("offset"))
 
@@ -138,7 +142,7 @@ def block_checksum(data: Column, seed: Column) -> Column:
     """A cabinet block's checksum: little-endian words folded by exclusive or; up to three last bytes count from the high end."""
     n = F.floor(F.length(data) / 4).cast("int")
     words_ = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    whole = F.aggregate(words_, seed.cast("bigint"), lambda a, i: a.bitwiseXOR(little(data, 4 * i, 4)))
+    whole = let(data, lambda d: F.aggregate(words_, seed.cast("bigint"), lambda a, i: a.bitwiseXOR(little(d, 4 * i, 4))))
     rest = F.substring(data, 4 * n + 1, F.lit(3))
     tail = F.when(F.length(rest) > 0, F.conv(F.hex(rest), 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return whole.bitwiseXOR(tail)

@@ -1,5 +1,7 @@
 """Containers built byte by byte: what is read, and what is refused."""
 
+import random
+import time
 import bz2
 import lzma
 import struct
@@ -301,3 +303,71 @@ def test_staged_tables_are_cleared(spark):
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         staging.table(spark.range(5), "five").count()
         staged.count()
+
+
+def test_root_class_and_attribution(spark):
+    def compound(first, tail=detect.CLASS_TAIL):
+        head = bytearray(512)
+        head[:8], head[30:32], head[48:52] = detect.COMPOUND, struct.pack("<H", 9), struct.pack("<I", 1)
+        root = bytearray(512)
+        root[0x50], root[0x51:0x60] = first, tail
+        return bytes(head) + bytes(512) + bytes(root)
+
+    rows = [("database", compound(0x84)), ("patch", compound(0x86)), ("transform", compound(0x82)), ("other", compound(0x85)), ("tail", compound(0x84, bytes(15))), ("cut", compound(0x84)[:1100]), ("none", b"x" * 2000)]
+    got = {r.path: r.c for r in spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").select("path", detect.root_class(F.col("content")).alias("c")).collect()}
+    assert got == {p: p if p in ("database", "patch", "transform") else None for p, _ in rows}
+    marks = [(1, b"stub sfxrar Rar!", 11), (2, b"stub Rar! sfxrar", 5), (3, b"", 0)]
+    got = spark.createDataFrame([(i, bytearray(c), e) for i, c, e in marks], "i int, content binary, e int").select("i", detect.attributed(F.col("content"), F.col("e"), detect.STUBS["rar"]).alias("a"))
+    assert {r.i: r.a for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_burn_records_are_rebased_and_described(spark):
+    listed = spark.createDataFrame(
+        [
+            ("b", "c1", "attached", 10, 20, "MsiPackage", "p1", "a.txt", "a.txt"),
+            ("b", "c1", "attached", 90, 20, None, None, "b.burn-2.txt", "b.txt"),
+            ("b", None, "ux", 0, 5, None, None, "u", "u"),
+            ("b", "c1", "attached", 0, 100, "ExePackage", "", "e", None),
+        ],
+        "path string, container string, container_type string, stream_offset long, stream_size long, package_type string, package_id string, public_path string, file_path string",
+    )
+    outer = spark.createDataFrame([("b", "c1", 1000, 100)], "path string, container string, outer_offset long, outer_size long")
+    got = {r.public_path: (r.stream_offset, r.info) for r in burn.described(listed, outer).collect()}
+    assert got == {
+        "a.txt": (1010, "WiX Burn MsiPackage package (p1)"),
+        "b.burn-2.txt": (None, "WiX Burn attached payload; manifest path: b.txt"),
+        "u": (None, "WiX Burn UX payload"),
+        "e": (1000, "WiX Burn ExePackage package; manifest path: "),
+    }
+
+
+def test_range_join_paths_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = sorted(rng.sample(range(1, 2000), 150))
+    bounds = spark.createDataFrame([(i, x) for i, x in enumerate(edges)], "i int, last long")
+    values = [(k, rng.randrange(-5, 2100)) for k in range(400)]
+    items = spark.createDataFrame(values, "k int, v long").repartition(3)
+    want = sorted((k, next((i for i, x in enumerate(edges) if v <= x), None) if v > 0 else None) for k, v in values)
+    for few in (10_000, 10):
+        monkeypatch.setattr(joins, "FEW_BOUNDS", few)
+        left = joins.range_join(items, bounds, "v", "last", "i", how="left")
+        assert left.columns == ["k", "v", "i", "last", "lower"]
+        assert sorted((r.k, r.i) for r in left.collect()) == want
+        assert sorted((r.k, r.i) for r in joins.range_join(items, bounds, "v", "last", "i").collect()) == [w for w in want if w[1] is not None]
+
+
+def test_readers_take_large_containers(spark):
+    n = 20_000
+    names_ = [f"n{i}.txt".encode() for i in range(n)]
+    start, data, listed = len(isdf.SIGNATURE) + 16 + sum(len(x) + 22 for x in names_), b"", b""
+    for i, x in enumerate(names_):
+        d = b"x" * 50 + str(i).encode()
+        listed += struct.pack("<H", len(x)) + x + struct.pack("<QQI", start + len(data), len(d), zlib.crc32(d))
+        data += d
+    found = spark.createDataFrame([("a", bytearray(isdf.SIGNATURE + isdf.MARK + struct.pack("<IQ", n, start) + listed + data))], "path string, content binary")
+    pool = struct.pack("<HH", 65001, 0) + b"".join(struct.pack("<HH", len(str(i)), 1) for i in range(60_000))
+    streams = spark.createDataFrame([("a", "_StringPool", bytearray(pool)), ("a", "_StringData", bytearray("".join(map(str, range(60_000))).encode()))], "path string, name string, data binary")
+    began = time.perf_counter()
+    assert isdf.payloads(found, isdf.records(found)).where("crc_ok and size_ok").count() == n
+    assert msi.string_pool(streams).where("value = cast(string_id - 1 as string)").count() == 60_000
+    assert time.perf_counter() - began < 60
