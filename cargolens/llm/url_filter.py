@@ -13,6 +13,7 @@ a row. Of rules with the same host and path, block wins over allow. An empty tab
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,7 +77,8 @@ def judge(urls: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataF
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = urls.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
     bounds = [r.key for r in first.orderBy("key").collect()][1:]
-    part = lambda key: F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<string>"), lambda b: b <= key))
+    shared = spark.sparkContext.broadcast(bounds)
+    part = F.pandas_udf(lambda keys: pd.Series([bisect.bisect_right(shared.value, k) for k in keys], dtype="int32"), "int")
     upto = F.concat("key", F.lit("\U0010ffff"))
     none = F.lit(None).cast("string")
     starts = rules.select(F.explode(F.sequence(part(F.col("key")), part(upto))).alias("part"), "key", "rule", "verdict", none.alias("host"), none.alias("path"))
@@ -89,7 +91,8 @@ def judge(urls: DataFrame, rules: DataFrame, ranges: int | None = None) -> DataF
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    found = judge(pages.select("host", "path"), rules)
+    # A written table, so that Spark can split the shuffles of a URL which many pages have.
+    found = table(judge(pages.select("host", "path"), rules), "url-verdicts")
     return pages.join(found, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
 
 
