@@ -1,13 +1,14 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the documents keeps the passages around word n-grams that may be an item's (a bit map of fixed size says so). All
+One pass over the documents keeps the passages around word n-grams that may be an item's (bit maps say so, one for each size of items). All
 n-grams of an item are seeds, however many documents have them: those that survive in a copy may be just the frequent ones, as
 when many documents hold the same edited copy. Distinct passages meet items on seeds; pairs with too few words in common to reach the
 score drop out, and local alignment of their words scores the rest: copies with words changed, left out or put in still align. A
 pair is a leak if its score is at least SCORE of a whole copy's.
 
 Defined results: a null text has no passages. Leaks are per text: repeated rows and equal texts all get them, and rows with
-null ids, too. Items with fewer words than an n-gram have none; they, null and empty items are never found. Items with null
+null ids, too. Texts of any length are searched whole. Of passages with the same score the first counts. Other columns are kept by
+without_leaks(), whatever their names. Items with fewer words than an n-gram have none; they, null and empty items are never found. Items with null
 id count. Empty tables give an empty result.
 """
 
@@ -28,8 +29,11 @@ from cargolens.llm.common import ship, table
 from cargolens.llm.tokens import slices
 
 WORD = re.compile(r"\w+")
-#: Words to a seed; bits of the map (as a power of two); the least score, of that of a whole copy.
-GRAM, MAP_BITS, SCORE = 3, 24, 0.5
+#: Words to a seed; the least score, of that of a whole copy.
+GRAM, SCORE = 3, 0.5
+#: Bits of a map for each gram in it; the least and greatest sizes (as powers of two). A gram is looked up in two maps: one in ROOM^2
+#: others passes. Fuller maps let more passages through, to be sorted out later.
+ROOM, LEAST_BITS, MOST_BITS = 256, 16, 28
 MATCH, OTHER, GAP = 2, -1, 1
 #: Cells of the alignment that one task holds at a time.
 CELLS = 2_000_000
@@ -66,38 +70,68 @@ def item_grams(items: DataFrame, gram: int) -> DataFrame:
     return items.mapInPandas(run, "item_id long, n_words long, gram long")
 
 
-def bit_map(grams: DataFrame, bits: int) -> np.ndarray:
-    """Bytes of a map of 2^bits bits with those of all grams; the driver gets at most 2^(bits-6) rows, however many grams there are."""
-    at = F.shiftrightunsigned("gram", 64 - bits)
-    words = grams.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) % 64 as int))").alias("b"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[r.w] = r.b
-    return out.view(np.uint8)
+def places_of(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A gram's places in its two maps: its highest bits, and its lowest."""
+    return grams >> np.uint64(64 - bits), grams & np.uint64((1 << bits) - 1)
 
 
-def passages(texts: DataFrame, seen: np.ndarray, bits: int, gram: int, margin: int) -> DataFrame:
-    """(key, start, words, hits): stretches of a text around n-grams in the map, with margin words on each side; those that meet are one."""
+def in_map(known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def maps_of(grams: DataFrame, bits: int = LEAST_BITS) -> list[tuple[int, int, list[np.ndarray]]]:
+    """(margin, bits, two maps) for each power of two that some item's length comes to: a gram needs no more words around it than its item has.
+
+    A map's size follows the number of its grams, from 2^bits to 2^MOST_BITS bits."""
+    power = F.pow(F.lit(2), F.ceil(F.log2("n_words"))).cast("int")
+    counts = {r.margin: r.n for r in grams.groupBy(power.alias("margin")).agg(F.count_distinct("gram").alias("n")).collect()}
+    sizes = {margin: min(MOST_BITS, max(bits, (ROOM * n).bit_length())) for margin, n in sorted(counts.items())}
+    if not sizes:
+        return []
+    # All maps in one job, as 64-bit words: at most 2^(bits-6) rows for a map, however many grams there are.
+    own = F.element_at(F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)), power)
+    high = F.call_function("shiftrightunsigned", F.col("gram"), F.lit(64) - own)
+    low = F.col("gram").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), own) - 1)
+    placed = grams.select(power.alias("margin"), F.posexplode(F.array(high, low)).alias("which", "at"))
+    words = placed.groupBy("margin", "which", F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b")).toArrow().to_pandas()
+    out = {margin: [np.zeros(1 << (own - 6), np.int64) for _ in range(2)] for margin, own in sizes.items()}
+    for (margin, which), part in words.groupby(["margin", "which"]):
+        out[margin][which][part["w"].to_numpy()] = part["b"].to_numpy()
+    return [(margin, sizes[margin], [m.view(np.uint8) for m in maps]) for margin, maps in out.items()]
+
+
+def stretches(hits: np.ndarray, margins: np.ndarray, gram: int, starts: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+    """(text, first, end, hits in it) of the words around hits, each with its own margin, within its text; those that meet are one."""
+    of = np.searchsorted(starts, hits, "right") - 1
+    a, z = np.maximum(hits - margins, starts[of]), np.minimum(hits + gram + margins, starts[of + 1])
+    order = np.argsort(a, kind="stable")
+    of, a, upto, hits = of[order], a[order], np.maximum.accumulate(z[order]), hits[order]
+    cuts = np.flatnonzero((of[1:] != of[:-1]) | (a[1:] > upto[:-1])) + 1
+    edges = [0, *cuts.tolist(), len(hits)]
+    return [(int(of[i]), int(a[i]), int(upto[j - 1]), hits[i:j]) for i, j in zip(edges, edges[1:], strict=False)] if len(hits) else []
+
+
+def passages(texts: DataFrame, maps: list[tuple[int, int, list[np.ndarray]]], gram: int) -> DataFrame:
+    """(key, start, words, hits): stretches of a text around n-grams in a map, with that map's margin of words on each side; those that meet are one."""
     spark = texts.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(seen)
+    shared = spark.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for b in slices(batches, "text", chars=1_000_000):
             words, h, starts = word_hashes(b.column("text").to_pylist())
             grams = gram_hashes(h, gram)
-            bit = grams >> np.uint64(64 - bits)
-            hit = np.flatnonzero(known[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-            of = np.searchsorted(starts, hit, "right") - 1
-            inside = hit + gram <= starts[of + 1]
-            hit, of = hit[inside], of[inside]
-            parts = np.split(np.arange(len(hit)), np.flatnonzero((np.diff(of) != 0) | (np.diff(hit) > 2 * margin)) + 1) if len(hit) else []
+            margins = np.zeros(len(grams), np.int64)
+            for margin, bits, (high, low) in shared.value:  # from short items to long ones
+                first, second = places_of(grams, bits)
+                some = np.flatnonzero(in_map(high, first))
+                margins[some[in_map(low, second[some])]] = margin
+            hit = np.flatnonzero(margins)
+            hit = hit[hit + gram <= starts[np.searchsorted(starts, hit, "right")]]
             keys, rows = b.column("key").to_pylist(), []
-            for p in parts:
-                d, first = int(of[p[0]]), int(starts[of[p[0]]])
-                a, z = max(0, int(hit[p[0]]) - first - margin), int(hit[p[-1]]) - first + gram + margin
-                rows.append((keys[d], a, " ".join(words[d][a:z]), np.unique(grams[hit[p]]).view(np.int64)))
+            for d, a, z, own in stretches(hit, margins[hit], gram, starts):
+                first = int(starts[d])
+                rows.append((keys[d], a - first, " ".join(words[d][a - first : z - first]), np.unique(grams[own]).view(np.int64)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "start", "words", "hits"])
@@ -148,14 +182,13 @@ def key_of(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, bits: int = MAP_BITS, least: float = SCORE) -> DataFrame:
-    """(key, item_id, score, start): texts, by key_of(), that hold a copy of an item; start: of the passage, in words."""
+def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, bits: int = LEAST_BITS, least: float = SCORE) -> DataFrame:
+    """(key, item_id, score, start): texts, by key_of(), that hold a copy of an item; start: of the passage with that score (the first of them), in words."""
     ship(documents.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     grams = table(item_grams(items, gram), "item-grams")
-    longest = grams.agg(F.max("n_words")).first()[0] or 0
     texts = documents.select(key_of(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = table(passages(texts, bit_map(grams, bits), bits, gram, longest), "passages")
+    found = table(passages(texts, maps_of(grams, bits), gram), "passages")
     found = found.withColumn("passage", F.md5("words"))
     once = table(found.groupBy("passage").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "distinct-passages")
     hits = once.select("passage", F.explode("hits").alias("gram"))
@@ -164,13 +197,14 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, bits: int =
     met = pairs.join(once.select("passage", "words"), "passage").join(named, F.col("item_id").eqNullSafe(F.col("of"))).select("passage", "item_id", "item", "words")
     good = met.mapInPandas(lambda frames: _score(frames, least), "passage string, item_id long, score double").where(F.col("score") >= least)
     scored = found.select("passage", "key", "start").join(table(good, "copies"), "passage")
-    return scored.groupBy("key", "item_id").agg(F.max("score").alias("score"), F.min("start").alias("start"))
+    return scored.groupBy("key", "item_id").agg(F.max("score").alias("score"), F.max_by("start", F.struct("score", -F.col("start"))).alias("start"))
 
 
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents whose text holds no item's copy."""
     bad = table(leaks(documents, items).select("key").distinct(), "leaked")
-    return documents.withColumn("_key", key_of(F.col("text"))).join(bad, F.col("_key") == bad["key"], "left_anti").drop("_key")
+    # The rows' own columns go along as one struct, so that their names clash with none here.
+    return documents.select(F.struct(*documents.columns).alias("row"), key_of(F.col("text")).alias("key")).join(bad, "key", "left_anti").select("row.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,42 @@ def test_op9_finds_copies_and_edits(spark):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def slow_score(a, b):
+    h, best, end = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0, 0
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            h[i + 1][j + 1] = max(0, h[i][j] + (2 if x == y else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+            if h[i + 1][j + 1] > best:
+                best, end = h[i + 1][j + 1], j
+    return best / (2 * len(a)), end
+
+
+def test_op9_equals_all_pairs(spark):
+    """Every text against every item: a pair counts if it shares a seed and the whole text's best alignment reaches the score."""
+    rng = random.Random(11)
+    items = {i: [f"t{i % 5}x{rng.randrange(40)}" for _ in range(rng.choice([4, 9, 20, 70, 130]))] for i in range(24)}
+    texts = []
+    for k in range(120):
+        w = [f"n{rng.randrange(300)}" for _ in range(rng.randint(0, 80))]
+        for i in rng.sample(range(24), rng.randint(0, 2)):
+            keep = rng.choice([1, 0.9, 0.75, 0.6, 0.4])
+            at = rng.randint(0, len(w))
+            w[at:at] = [x if rng.random() < keep else f"c{k}" for x in items[i]]
+        texts.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = decontaminate.leaks(docs, bench)
+    got = {(r.doc_id, r.item_id): (round(r.score, 6), r.start) for r in docs.withColumn("key", decontaminate.key_of(F.col("text"))).join(found, "key").collect()}
+    grams = lambda w: set(zip(w, w[1:], w[2:], strict=False))
+    want = {}
+    for d, w in enumerate(texts):
+        for i, item in items.items():
+            if grams(w) & grams(item) and (best := slow_score(item, w))[0] >= decontaminate.SCORE:
+                want[d, i] = best
+    assert {k: round(s, 6) for k, (s, _) in want.items()} == {k: s for k, (s, _) in got.items()} and 40 < len(want) < 240
+    assert all(got[k][1] <= end for k, (_, end) in want.items())  # the passage starts before the best alignment's end
+
+
 def test_op9_score_is_smith_waterman():
     rng = random.Random(8)
     pairs = [([rng.randrange(4) for _ in range(rng.randint(1, 12))], [rng.randrange(4) for _ in range(rng.randint(1, 20))]) for _ in range(200)]
