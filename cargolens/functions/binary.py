@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cargolens.functions.arrays import let, running_sums
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -73,6 +75,56 @@ def find(data, needle: bytes) -> Column:
     return F.nullif(F.position(F.lit(bytearray(needle)), _c(data)), F.lit(0)) - 1
 
 
+def _pattern(needle: bytes) -> str:
+    return "".join(f"\\x{b:02x}" for b in needle)
+
+
+def find_all(data, needle: bytes) -> Column:
+    """Offsets of all occurrences, overlapping ones too: what a split before each of them leaves adds up to their places."""
+    s = F.decode(_c(data), "ISO-8859-1")
+    ahead = f"(?={_pattern(needle)})"
+    parts = F.transform(F.split(s, ahead), lambda p: F.length(p).cast("bigint"))
+    # The first part starts at an occurrence only if the data do.
+    starts = let(running_sums(parts), lambda ends: F.concat(F.when(has_at(data, 0, needle), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), F.slice(ends, 1, F.size(ends) - 1)))
+    return F.when(F.length(_c(data)) > 0, starts).otherwise(F.when(_c(data).isNotNull(), F.array().cast("array<bigint>")))
+
+
+def find_last(data, needle: bytes) -> Column:
+    """Offset of the last occurrence, null if there is none."""
+    s = F.reverse(F.decode(_c(data), "ISO-8859-1"))
+    at = F.nullif(F.position(F.lit(needle[::-1].decode("latin-1")), s), F.lit(0))
+    return F.length(_c(data)) - (at - 1) - len(needle)
+
+
+def byte_sum(data) -> Column:
+    """The sum of the bytes."""
+    digits = F.regexp_extract_all(F.hex(_c(data)), F.lit("(..)"), F.lit(1))
+    return F.aggregate(F.transform(digits, lambda x: F.conv(x, 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def head_inverted(data, n: int) -> Column:
+    """The data with all bits of the first n bytes turned; hex digits are turned one by one."""
+    turned = F.translate(F.hex(take(data, 0, n)), "0123456789ABCDEF", "FEDCBA9876543210")
+    return F.concat(F.unhex(turned), F.substr(_c(data), F.lit(n + 1)))
+
+
+def chunked(data, size: int = 4096) -> Column:
+    """The data in chunks, each behind its CRC-32."""
+    n = F.ceil(F.length(_c(data)) / size).cast("int")
+    crc = lambda x: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.crc32(x)), 8, "0"), k, 2) for k in (7, 5, 3, 1))))
+    parts = let(_c(data), lambda d: F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(take(d, i * size, size), lambda x: F.hex(F.concat(crc(x), x)))))
+    return F.when(n > 0, F.unhex(F.array_join(parts, ""))).otherwise(_c(data))
+
+
+def unchunked(data, size: int = 4096) -> Column:
+    """The data of chunks without their CRC-32, null if one of them is wrong or a chunk has no data."""
+    n = F.ceil(F.length(_c(data)) / (size + 4)).cast("int")
+    good = lambda x: F.when((F.length(x) > 4) & (little(x, 0, 4) == F.crc32(F.substr(x, F.lit(5)))), F.hex(F.substr(x, F.lit(5))))
+    parts = let(_c(data), lambda d: F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(take(d, i * (size + 4), size + 4), good)))
+    whole = let(parts, lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.unhex(F.array_join(p, ""))))
+    return F.when(n > 0, whole).otherwise(_c(data))
+
+
 def has_at(data, offset, magic: bytes) -> Column:
     return take(data, offset, len(magic)) == F.lit(bytearray(magic))
 

@@ -68,6 +68,24 @@ def version_text(name, pattern: str) -> Column:
     return F.regexp_extract(_c(name), pattern, 1)
 
 
+def version(*parts) -> Column:
+    """Up to four numbers of a version as a struct, which compares as versions do; absent ones are 0."""
+    whole = [*(_c(p) if isinstance(p, str | Column) else F.lit(p) for p in parts), *[F.lit(0)] * (4 - len(parts))]
+    return F.struct(*(p.cast("bigint").alias(n) for p, n in zip(whole, ("major", "minor", "patch", "revision"), strict=True)))
+
+
+# The record type that a name's extension asks for.
+RECORD_TYPES = {".msi": 1, ".cab": 7, ".ini": 0}
+
+
+def type_agrees(name, record_type) -> Column:
+    """Whether a record's type is the one of its name's extension; other extensions have none."""
+    out = F.lit(False)
+    for extension, number in RECORD_TYPES.items():
+        out = F.when(F.lower(_c(name)).endswith(extension), _c(record_type) == number).otherwise(out)
+    return out
+
+
 def volume_name(pattern, index) -> Column:
     """The name of a numbered volume; the pattern has %i, %Ni or %0Ni."""
     java = F.regexp_replace(_c(pattern), r"%(0?[0-9]*)i", "%$1d")

@@ -4,12 +4,13 @@ The SQL twin reads the tables: a container is right if its rows come back."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cargolens.functions import binary
 from cargolens.functions.staging import table
 from cargolens.plans.base import query, t
-from cargolens.sources import isdf, msi
+from cargolens.sources import isdf, msi, script_text
 from cargolens.sources.isdf import packed
 
 #: Documents to an archive.
@@ -66,3 +67,28 @@ def msi_table_read(spark, d):
     streams = _database(rows, "Supplier", {"Name": True, "Id": False, "Balance": False})
     _, cells = msi.tables(table(streams, "msi-streams"))
     return msi.relation(cells, "supplier", {"name": ("name", "text"), "id": ("id", "number"), "balance": ("balance", "number")}).drop("table_order")
+
+
+@query("SELECT doc_id, md5(text) AS md5, CAST(octet_length(encode(text)) + 4 * ((octet_length(encode(text)) + 4095) // 4096) AS BIGINT) AS stored FROM documents")
+def chunk_strip(spark, d):
+    stored = table(t(spark, d, "documents").select("doc_id", binary.chunked(F.encode("text", "UTF-8")).alias("chunks")), "chunked")
+    return stored.select("doc_id", F.md5(binary.unchunked("chunks")).alias("md5"), F.length("chunks").cast("long").alias("stored"))
+
+
+#: Suppliers to a script.
+PER_SCRIPT = 50
+
+
+@query("SELECT s_suppkey, '$INSTDIR\\' || s_name || '$R' || (s_suppkey % 10) AS text FROM supplier")
+def script_strings(spark, d):
+    """Each supplier's name behind and before an escape, in the string block of its script, and read back by its place."""
+    escape = lambda n: F.concat(F.lit(bytearray(b"\xfd")), packed(n + 0x80, 1), F.lit(bytearray(b"\x80")))
+    raw = F.concat(escape(F.lit(21)), F.encode(F.concat(F.lit("\\"), "s_name"), "UTF-8"), escape(10 + F.col("s_suppkey") % 10), F.lit(bytearray(1)))
+    rows = t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("script-"), F.floor(F.col("s_suppkey") / PER_SCRIPT).cast("string")).alias("path"), raw.alias("raw"))
+    before = Window.partitionBy("path").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    placed = table(rows.withColumn("pos", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("long")), "script-strings")
+    blocks = placed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("raw").alias("digits")))).alias("parts"))
+    header = F.unhex(F.array_join(F.transform("parts", lambda x: x["digits"]), ""))
+    headers = table(blocks.select("path", header.alias("header"), F.lit(0).alias("strings_at"), F.length(header).alias("n_chars")), "script-headers")
+    found = script_text.texts(placed, headers, script_text.DIALECTS["ansi2"])
+    return placed.join(found, ["path", "pos"]).select("s_suppkey", "text")

@@ -318,3 +318,34 @@ def declared_total(spark, d):
     turns = t(spark, d, "conversations")
     wholes = turns.groupBy("conv_id").agg((F.max("turn") * 500).alias("declared"))
     return aggregates.totals_hold(turns.select("conv_id", F.length("text").cast("long").alias("size")), wholes, ["conv_id"], "size", "declared").select("conv_id", "total", "declared", "holds")
+
+
+@query("SELECT page_id, CAST(len(p) AS BIGINT) AS n, CAST(p[1] AS BIGINT) AS first, CAST(p[-1] AS BIGINT) AS last FROM (SELECT page_id, list_filter(range(octet_length(encode(url))), lambda i: substr(hex(encode(url)), 2 * i + 1, 4) = '2F2F' OR substr(hex(encode(url)), 2 * i + 1, 4) = '2E65') AS p FROM pages)")
+def find_all_marks(spark, d):
+    """Places of two marks, that of a host and that of a name with e behind a dot."""
+    pages = t(spark, d, "pages").select("page_id", F.encode("url", "UTF-8").alias("url"))
+    at = F.array_sort(F.concat(binary.find_all("url", b"//"), binary.find_all("url", b".e")))
+    last = F.greatest(binary.find_last("url", b"//"), binary.find_last("url", b".e"))
+    return pages.select("page_id", F.size(at).cast("long").alias("n"), F.get(at, F.lit(0)).alias("first"), last.cast("long").alias("last"))
+
+
+@query("SELECT doc_id, CAST(list_sum([CAST(('0x' || substr(md5(text), CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) FOR i IN range(16)]) AS BIGINT) AS total FROM documents")
+def digest_byte_sum(spark, d):
+    return t(spark, d, "documents").select("doc_id", binary.byte_sum(F.unhex(F.md5("text"))).alias("total"))
+
+
+@query("SELECT doc_id, md5(translate(left(hex(encode(text)), 1024), '0123456789ABCDEF', 'FEDCBA9876543210') || substr(hex(encode(text)), 1025)) AS md5 FROM documents")
+def inverted_head(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(F.hex(binary.head_inverted(F.encode("text", "UTF-8"), 0x200))).alias("md5"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE ((o_orderkey::BIGINT % 7 * 65536 + o_custkey % 5) * 65536 + o_orderkey % 3) * 65536 + o_custkey % 2 >= ((3::BIGINT * 65536 + 2) * 65536 + 1) * 65536")
+def version_at_least(spark, d):
+    found = names.version(F.col("o_orderkey") % 7, F.col("o_custkey") % 5, F.col("o_orderkey") % 3, F.col("o_custkey") % 2)
+    return t(spark, d, "orders").where(found >= names.version(3, 2, 1)).select("o_orderkey")
+
+
+@query("""SELECT s_suppkey, (ext = '.msi' AND s_nationkey % 8 = 1) OR (ext = '.CAB' AND s_nationkey % 8 = 7) OR (ext = '.Ini' AND s_nationkey % 8 = 0) AS agrees FROM (SELECT *, ['.msi', '.CAB', '.Ini', '.txt'][s_suppkey % 4 + 1] AS ext FROM supplier)""")
+def record_type_agrees(spark, d):
+    name = F.concat("s_name", F.get(F.array(*map(F.lit, [".msi", ".CAB", ".Ini", ".txt"])), (F.col("s_suppkey") % 4).cast("int")))
+    return t(spark, d, "supplier").select("s_suppkey", names.type_agrees(name, F.col("s_nationkey") % 8).alias("agrees"))
